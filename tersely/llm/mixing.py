@@ -108,6 +108,32 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), repeats: int = 2, shar
     return placed.select(*kept, "source_size", "target", taken.alias("taken"))
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus: each document as often as it is taken whole, and the first words of a rest.
+
+    Only narrow rows go through the mixing; the texts meet their counts in one join. A document keeps its columns;
+    ``n_chars``, if there, is the length of the text that is returned.
+    """
+    tie = F.xxhash64("text")
+    narrow = mix(docs, payload=[tie.alias("_t")], **options).where("taken > 0")
+    narrow = (narrow.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_t")
+              .agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count("*").alias("_rows")))
+    narrow = cut(narrow)
+    rows = docs.withColumn("_tie", tie)
+    if narrow.where("_rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id", "source", "_tie"])
+    on = rows["doc_id"].eqNullSafe(narrow["_d"]) & rows["source"].eqNullSafe(narrow["_s"]) & (rows["_tie"] == narrow["_t"])
+    rows = rows.join(narrow, on)
+    whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
+    copies = F.sequence(F.lit(1), (whole + F.when(rest > 0, 1).otherwise(0)).cast("int"))
+    rows = rows.withColumn("_copy", F.explode(copies))
+    text = F.when(F.col("_copy") <= whole, F.col("text")).otherwise(first_words(F.col("text"), rest))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(*docs.columns)
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to its n-th word, with the white space between as it was."""
     parts = F.split(text, "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")

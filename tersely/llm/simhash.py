@@ -25,8 +25,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import cut, ship
 from .components import components
@@ -54,14 +55,15 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(first)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, tie: Column | None = None) -> DataFrame:
+    """(doc_id, fp, tie): the fingerprint as a signed 64-bit number; ``tie`` is passed through."""
     def run(batches):
         for batch in batches:
             fps = np.fromiter((simhash(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "tie"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    own = (F.lit(0) if tie is None else tie).cast("long").alias("tie")
+    return docs.select(F.col("doc_id").cast("long"), "text", own).mapInArrow(run, "doc_id long, fp long, tie long")
 
 
 class Block:
@@ -212,12 +214,29 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int | None = None, ro
     return routed.repartition(tasks, "key").mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
-    prints = cut(fingerprints(docs, shingle))
+def one_of_each(docs: DataFrame, threshold: int = 4, shingle: int = 4) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, then text hash.
+
+    The rows that stay are found on narrow rows; texts move once, to meet them. Only where a row is repeated
+    whole are rows of one id and text compared once more.
+    """
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    groups = near_duplicates(docs, threshold, shingle, tie=tie)
+    w = W.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "tie")
+    kept = cut(groups.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")))
+    rows = docs.withColumn("_tie", tie)
+    out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_d"]) & (rows["_tie"] == kept["_t"]), "left_semi")
+    again = groups.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count()
+    return (out.dropDuplicates(["doc_id", "_tie"]) if again else out).drop("_tie")
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, blocks: int | None = None, tie: Column | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document, and ``tie``, if one is given."""
+    prints = cut(fingerprints(docs, shingle, tie=tie))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(distinct, threshold, blocks))
     nodes = distinct.join(label.withColumnRenamed("u", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     of = nodes.join(least, "label").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+                                          *([] if tie is None else ["tie"]))
