@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 
@@ -41,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of plans that are done with: Spark removes their shuffle files once the driver has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """Words of the contracts as an array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

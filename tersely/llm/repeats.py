@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ensure_checkpoint_dir, ship
+from .common import ensure_checkpoint_dir, release, ship
 
 ship(__name__)
 
@@ -339,7 +339,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, records_a_bucket: int =
     found = (d.mapInArrow(first_pass, ROW).repartition(buckets, "bucket").mapInArrow(second_pass, "doc long, point long")
              .groupBy("doc").agg(F.collect_list("point").alias("points")))
     found = found.checkpoint(eager=True)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the first passes
+    release(spark)  # the shuffle files of the first passes are the largest
     joined = d.join(found.hint("shuffle_hash"), "doc", "left").select("doc", "variant", "text", "points")
 
     def third_pass(batches):
