@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,9 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of plans that are done with: Spark removes their shuffle files once the driver has collected them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of plans that are done with: Spark removes their shuffle files once the driver has collected them.
+
+    It takes more than one collection: the first lets go of the plan, a later one of the shuffle it held.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def words_of(text: Column) -> Column:
