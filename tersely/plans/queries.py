@@ -798,10 +798,10 @@ def paired_compare(spark, d):
 @query("""WITH RECURSIVE g AS (SELECT b, c FROM range(0, 25) t(b), range(0, 25) u(c)),
 f AS (SELECT b, c, CAST(0 AS BIGINT) AS x, CAST(1 AS DOUBLE) AS term, CAST(1 AS DOUBLE) AS total FROM g
 UNION ALL SELECT b, c, x + 1, term * (b + c - x) / (x + 1), total + term * (b + c - x) / (x + 1) FROM f WHERE x < least(b, c))
-SELECT b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1, 2 * total / pow(2, b + c)), 6) END AS p FROM f WHERE x = least(b, c)""")
+SELECT b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1, 2 * total / pow(2, b + c)) + 1e-9, 6) END AS p FROM f WHERE x = least(b, c)""")
 def mcnemar_p(spark, d):
     g = spark.range(25).withColumnRenamed("id", "b").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(24)))).withColumn("c", F.col("c").cast("long"))
-    return g.withColumn("p", F.round(evaluate.mcnemar_p(F.col("b"), F.col("c")), 6))
+    return g.withColumn("p", F.round(evaluate.mcnemar_p(F.col("b"), F.col("c")) + F.lit(1e-9), 6))
 
 
 _ZA, _ZB = evaluate.normal_quantile(0.975), evaluate.normal_quantile(0.8)

@@ -1,0 +1,66 @@
+"""Every query with SQL against DuckDB on the small tables; the rest must run and change something."""
+import decimal
+import glob
+import os
+
+import duckdb
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+from tersely.plans import queries as plans
+
+
+def plain(x):
+    if isinstance(x, (list, tuple, np.ndarray)) and not hasattr(x, "asDict"):
+        return tuple(plain(i) for i in x)
+    if hasattr(x, "asDict"):
+        return tuple((k, plain(v)) for k, v in sorted(x.asDict().items()))
+    if isinstance(x, decimal.Decimal):
+        x = float(x)
+    if isinstance(x, float):
+        return None if x != x else int(x) if x == int(x) and abs(x) < 1e15 else x
+    return x
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    c = duckdb.connect()
+    for f in glob.glob(f"{sf_dir}/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_against_duckdb(spark, sf_dir, duck, name):
+    df = entry.queries()[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    got = sorted([tuple(plain(r[c]) for c in columns) for r in df.collect()], key=repr)
+    r = duck.execute(entry.oracle_sql()[name])
+    names = [x[0] for x in r.description]
+    assert sorted(names) == columns
+    want = sorted([tuple(plain(row[names.index(c)]) for c in columns) for row in r.fetchall()], key=repr)
+    assert got == want and got
+
+
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
+def test_runs(spark, sf_dir, name):
+    assert plans.QUERIES[name](spark, sf_dir).count() > 0
+
+
+CHANGED = {"trim_filler_chains", "near_dup_paragraphs_85", "list_dedup_near", "reduce_safe", "reduce_balanced", "reduce_aggressive"}
+
+
+def test_reductions_are_not_empty_gestures(spark, sf_dir):
+    mixed = plans._mixed(spark, sf_dir)
+    for level in ("safe", "balanced", "aggressive"):
+        out = mixed.join(plans.QUERIES[f"reduce_{level}"](spark, sf_dir), "bundle").selectExpr("sum(length(text)) a", "sum(length(reduced)) b").first()
+        assert out.b < 0.97 * out.a
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 4
+
+
+def test_every_query_has_a_name_of_its_own():
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 90
