@@ -84,7 +84,7 @@ def test_fidelity():
     assert not r["ok"] and r["missing_numbers"] == ["10"] and "Ada Byron" in r["missing_proper_nouns"]
     assert fidelity.report("a", "a 1 2")["ok"]
     assert fidelity.names("The cat saw Rome. Then we left Oslo.\nParis is: Big") == {"Rome", "Oslo"}
-    assert fidelity.lost_numbers(["1", "2", "1"], ["2", "1"]) == ["2"]
+    assert fidelity.lost_numbers(["1", "2", "1"], ["2", "1"]) == ["2", "1"] and fidelity.lost_numbers(["9", "2", "1"], ["2", "1"]) == ["9"]
 
 
 def test_verify_and_summary(spark):
