@@ -139,8 +139,8 @@ def votes(rows: DataFrame, voters: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.array([r["label"] for r in got])
 
 
-def label_model(x: np.ndarray, y: np.ndarray, trust: float = 0.97, rounds: int = 25) -> np.ndarray:
-    """Posterior labels: naive Bayes voters with shared weights, the given label being one more voter of known
+def label_model(x: np.ndarray, y: np.ndarray, trust: float = 0.97, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior labels and the voters' shares: naive Bayes voters with shared weights, the given label being one more voter of known
     accuracy. A voter's share falls with the voters that it is correlated with beyond what the label explains."""
     n, k = x.shape
     post = np.clip(y, 1 - trust, trust)
@@ -161,18 +161,35 @@ def label_model(x: np.ndarray, y: np.ndarray, trust: float = 0.97, rounds: int =
             post = new
             break
         post = new
-    return post
+    return post, share
 
 
-def logistic(x: np.ndarray, target: np.ndarray, penalty: float = 0.3, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression on soft labels by Newton's method."""
+def evidence(x: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """How surely a sign is one of toxicity: the exponent of the chance of such a share among clean texts."""
+    n, t, p = x.sum(axis=0), post @ x, float(np.clip(post.mean(), 1e-6, 1 - 1e-6))
+    share = np.clip(t / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    gap = share * np.log(share / p) + (1 - share) * np.log((1 - share) / (1 - p))
+    return np.where(share > p, n * gap, 0.0)
+
+
+def centres(x: np.ndarray, post: np.ndarray, share: np.ndarray, seeds: int, likely: float = 3.0) -> np.ndarray:
+    """Where the classifier's weights are drawn to: for seeds that chance does not explain, the label model's own
+    weight; nought for all other signs, which must earn theirs."""
+    on, off = post.sum() + 1, (1 - post).sum() + 1
+    odds = np.log(np.clip((post @ x + 0.05) / on, 1e-6, 1) / np.clip(((1 - post) @ x + 0.05) / off, 1e-6, 1))
+    return np.where((np.arange(x.shape[1]) < seeds) & (evidence(x, post) >= likely), share * odds, 0.0)
+
+
+def logistic(x: np.ndarray, target: np.ndarray, centre: np.ndarray | None = None, penalty: float = 0.3, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Newton's method, its weights drawn to ``centre``."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
-    w = np.zeros(x.shape[1])
+    w = np.append(np.zeros(x.shape[1] - 1) if centre is None else centre, 0.0)
+    centre = w.copy()
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6), x.T @ (p - target) + ridge * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6), x.T @ (p - target) + ridge * (w - centre))
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
@@ -187,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_voters
     if not len(y) or y.min() == y.max():
         weights = np.array([4.0 if v[:-1] in SEEDS else 0.0 for v in voters] + [0.0] * len(FORMS))
         return Model(voters, weights, -2.0)
-    weights, bias = logistic(x, label_model(x, y))
+    post, share = label_model(x, y)
+    weights, bias = logistic(x, post, centres(x, post, share, len(SEEDS)))
     # a sign that never fired on a row has no evidence; a seed then keeps a moderate weight
     weights = np.where(x.sum(axis=0) > 0, weights, [2.0 if i < len(SEEDS) else 0.0 for i in range(x.shape[1])])
     return Model(voters, weights, bias)

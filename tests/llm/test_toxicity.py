@@ -66,7 +66,8 @@ def test_label_model_discounts_copies_of_a_voter():
     good = np.where(y > 0, rng.random(2000) < 0.8, rng.random(2000) < 0.02)
     noise = rng.random(2000) < 0.3
     x = np.stack([good] + [noise] * 6, axis=1).astype(np.float32)
-    post = toxicity.label_model(x, y)
+    post, share = toxicity.label_model(x, y)
+    assert share[0] > 0.7 and (share[1:] < 0.3).all()
     assert ((post > 0.5) == (y > 0.5)).mean() > 0.95
     w, b = toxicity.logistic(x, post)
     assert w[0] > 2 and abs(w[1:].sum()) < 1
