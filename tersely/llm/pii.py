@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import cut
 
 KEY = "surrogate-key-1"
@@ -89,39 +90,38 @@ def keyed(key: str, *parts: Column, digits: int = 15) -> Column:
 
 def feistel(digits: Column, key: str, rounds: int = 4) -> Column:
     """A keyed bijection on strings of digits of one length (up to 18)."""
-    n = F.length(digits)
-    left_n = F.floor(n / 2).cast("int")
-    state = F.struct(F.substring(digits, F.lit(1), left_n).alias("a"), F.substring(digits, left_n + 1, n).alias("b"))
+    def halves(d: Column) -> Column:
+        left = F.floor(F.length(d) / 2).cast("int")
+        return F.struct(F.substring(d, F.lit(1), left).alias("a"), F.substring(d, left + 1, F.length(d)).alias("b"))
 
     def turn(s: Column, r: Column) -> Column:
         size = F.length(s["a"])
         modulus = F.pow(F.lit(10.0), size).cast("long")
         value = F.when(size > 0, s["a"]).otherwise(F.lit("0")).cast("long")
-        mixed = F.pmod(value + F.pmod(keyed(key, r, n, s["b"]), modulus), modulus)
+        mixed = F.pmod(value + F.pmod(keyed(key, r, size, s["b"]), modulus), modulus)
         return F.struct(s["b"].alias("a"), F.when(size > 0, F.lpad(mixed.cast("string"), size, "0")).otherwise(F.lit("")).alias("b"))
 
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, turn)
-    return F.concat(out["a"], out["b"])
+    return let(digits, lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), halves(d), turn, lambda s: F.concat(s["a"], s["b"])))
 
 
 def luhn_sum(digits: Column) -> Column:
     """The checksum's sum over digits that stand before the check digit, its nearest one doubled."""
-    n = F.length(digits)
+    def one(d: Column, i: Column) -> Column:
+        x = F.substring(d, F.length(d) - i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
+        return F.when(x > 9, x - 9).otherwise(x)
 
-    def one(i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
-        return F.when(d > 9, d - 9).otherwise(d)
-
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda total, i: total + one(i))
+    return let(digits, lambda d: F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), lambda total, i: total + one(d, i)))
 
 
 def refill(entity: Column, digits: Column, skip: Column) -> Column:
     """The entity with its digits after the first ``skip`` characters replaced in order by ``digits``."""
+    def fill(rest: Column, new: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(rest)), lambda i: F.when(
+            F.substring(rest, i, F.lit(1)).rlike("[0-9]"),
+            F.substring(new, F.length(F.regexp_replace(F.substring(rest, F.lit(1), i), "[^0-9]", "")), F.lit(1))).otherwise(F.substring(rest, i, F.lit(1)))), "")
+
     rest = F.substring(entity, skip + 1, F.length(entity))
-    at = F.transform(F.sequence(F.lit(1), F.length(rest)), lambda i: F.when(
-        F.substring(rest, i, F.lit(1)).rlike("[0-9]"),
-        F.substring(digits, F.length(F.regexp_replace(F.substring(rest, F.lit(1), i), "[^0-9]", "")), F.lit(1))).otherwise(F.substring(rest, i, F.lit(1))))
-    return F.concat(F.substring(entity, F.lit(1), skip), F.array_join(at, ""))
+    return F.concat(F.substring(entity, F.lit(1), skip), let(rest, lambda r: let(digits, lambda new: fill(r, new))))
 
 
 def only_digits(x: Column) -> Column:
@@ -135,38 +135,49 @@ def number_surrogate(entity: Column, key: str, skip: Column) -> Column:
 
 def card_surrogate(entity: Column, key: str) -> Column:
     """First digit kept; a number that passes the checksum gets one that does, any other one that does not."""
-    digits = only_digits(entity)
-    n = F.length(digits)
-    off = (luhn_sum(F.substring(digits, F.lit(1), n - 1)) + F.substring(digits, n, F.lit(1)).cast("int")) % 10
-    body = F.concat(F.substring(digits, 1, 1), feistel(F.substring(digits, F.lit(2), n - 2), key))
-    check = F.pmod(off - luhn_sum(body), F.lit(10))
-    return refill(entity, F.concat(body, check.cast("string")), F.lit(0))
+    def with_check(d: Column, body: Column) -> Column:
+        n = F.length(d)
+        off = (luhn_sum(F.substring(d, F.lit(1), n - 1)) + F.substring(d, n, F.lit(1)).cast("int")) % 10
+        return F.concat(body, F.pmod(off - luhn_sum(body), F.lit(10)).cast("string"))
+
+    new = let(only_digits(entity), lambda d: let(F.concat(F.substring(d, 1, 1), feistel(F.substring(d, F.lit(2), F.length(d) - 2), key)),
+                                                 lambda body: with_check(d, body)))
+    return refill(entity, new, F.lit(0))
 
 
 def ip_surrogate(entity: Column, key: str) -> Column:
     """A keyed bijection on 32-bit addresses, by a Feistel network on their halves."""
-    o = F.transform(F.split(entity, "\\."), lambda x: x.cast("long"))
-    start = F.struct((F.element_at(o, 1) * 256 + F.element_at(o, 2)).alias("a"), (F.element_at(o, 3) * 256 + F.element_at(o, 4)).alias("b"))
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, lambda s, r: F.struct(
-        s["b"].alias("a"), F.pmod(s["a"] + F.pmod(keyed(key, F.lit("ip"), r, s["b"]), F.lit(65536)), F.lit(65536)).alias("b")))
-    return F.concat_ws(".", *[F.floor(h / 256).cast("string") if top else (h % 256).cast("string")
-                              for h in (out["a"], out["b"]) for top in (True, False)])
+    def start(o: Column) -> Column:
+        return F.struct((F.element_at(o, 1) * 256 + F.element_at(o, 2)).alias("a"), (F.element_at(o, 3) * 256 + F.element_at(o, 4)).alias("b"))
+
+    def turn(s: Column, r: Column) -> Column:
+        return F.struct(s["b"].alias("a"), F.pmod(s["a"] + F.pmod(keyed(key, F.lit("ip"), r, s["b"]), F.lit(65536)), F.lit(65536)).alias("b"))
+
+    def written(s: Column) -> Column:
+        return F.concat_ws(".", *[F.floor(h / 256).cast("string") if top else (h % 256).cast("string") for h in (s["a"], s["b"]) for top in (True, False)])
 
+    octets = F.transform(F.split(entity, "\\."), lambda x: x.cast("long"))
+    return let(octets, lambda o: F.aggregate(F.sequence(F.lit(1), F.lit(4)), start(o), turn, written))
 
-def stream(entity: Column, seed: Column, key: str, hexadecimal: Column | None = None) -> Column:
+
+def stream(entity: Column, seed: Column, key: str, hexadecimal: bool = False) -> Column:
     """Each letter or digit replaced by one of its class: digit, case, script; other characters stay."""
     pools = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
              ("[à-öø-ÿ]", "àáâäçèéêëíîïñóôöúûü"), ("[а-я]", "абвгдежзиклмнопрстуфхцчшэюя"), ("[А-Я]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω")]
-    if hexadecimal is not None:
+    if hexadecimal:
         pools = [("[0-9a-f]", "0123456789abcdef"), ("[A-F]", "0123456789ABCDEF")]
 
-    def one(i: Column) -> Column:
-        c, out = F.substring(entity, i, F.lit(1)), F.substring(entity, i, F.lit(1))
+    def swap(c: Column, draw: Column) -> Column:
+        out = c
         for pattern, pool in reversed(pools):
-            out = F.when(c.rlike(pattern), F.substring(F.lit(pool), (F.pmod(keyed(key, seed, i, digits=8), F.lit(len(pool))) + 1).cast("int"), F.lit(1))).otherwise(out)
+            out = F.when(c.rlike(pattern), F.substring(F.lit(pool), (F.pmod(draw, F.lit(len(pool))) + 1).cast("int"), F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), one), "")
+    def each(e: Column, own: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: let(
+            F.substring(e, i, F.lit(1)), lambda c: let(keyed(key, own, i, digits=8), lambda draw: swap(c, draw)))), "")
+
+    return let(entity, lambda e: let(seed, lambda own: each(e, own)))
 
 
 def email_surrogate(entity: Column, key: str) -> Column:
@@ -203,18 +214,21 @@ def name_surrogate(entity: Column, key: str) -> Column:
 
 
 def surrogate(entity: Column, key: str = KEY) -> Column:
-    kind = kind_of(entity)
-    country = F.length(F.regexp_extract(entity, "^\\+[0-9]{1,3}(?=[ .(-])", 0))
-    whole_secret = entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    tail = F.length(F.regexp_extract(entity, "^(?:AKIA|gh[pousr]_|sk-)", 0))
-    return (F.when(kind == "email", email_surrogate(entity, key)).when(kind == "ip", ip_surrogate(entity, key))
-            .when(kind == "ssn", number_surrogate(entity, f"{key}/ssn", F.lit(0)))
-            .when(kind == "phone", number_surrogate(entity, f"{key}/phone", country))
-            .when(kind == "card", card_surrogate(entity, f"{key}/card"))
-            .when(kind == "account", F.concat(F.substring(entity, 1, 2), stream(F.substring(entity, F.lit(3), F.length(entity)), entity, key)))
-            .when((kind == "secret") & whole_secret, stream(entity, entity, key, F.lit(True)))
-            .when(kind == "secret", F.concat(F.substring(entity, F.lit(1), tail), stream(F.substring(entity, tail + 1, F.length(entity)), entity, key)))
-            .otherwise(name_surrogate(entity, key)))
+    """The entity's replacement. Values that several places need are bound once, as a lambda's variable."""
+    def by_kind(e: Column, kind: Column) -> Column:
+        country = F.length(F.regexp_extract(e, "^\\+[0-9]{1,3}(?=[ .(-])", 0))
+        whole_secret = e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        prefix = F.length(F.regexp_extract(e, "^(?:AKIA|gh[pousr]_|sk-)", 0))
+        return (F.when(kind == "email", email_surrogate(e, key)).when(kind == "ip", ip_surrogate(e, key))
+                .when(kind == "ssn", number_surrogate(e, f"{key}/ssn", F.lit(0)))
+                .when(kind == "phone", let(country, lambda skip: number_surrogate(e, f"{key}/phone", skip)))
+                .when(kind == "card", card_surrogate(e, f"{key}/card"))
+                .when(kind == "account", F.concat(F.substring(e, 1, 2), stream(F.substring(e, F.lit(3), F.length(e)), e, key)))
+                .when((kind == "secret") & whole_secret, stream(e, e, key, True))
+                .when(kind == "secret", F.concat(F.substring(e, F.lit(1), prefix), stream(F.substring(e, prefix + 1, F.length(e)), e, key)))
+                .otherwise(name_surrogate(e, key)))
+
+    return let(entity, lambda e: let(kind_of(e), lambda kind: by_kind(e, kind)))
 
 
 def canonical(entity: Column) -> Column:
@@ -258,10 +272,11 @@ def replace_documents(docs: DataFrame, key: str = KEY, text: str = "text", check
         to = F.transform("_m", lambda e: surrogate(e, key))
     rows = rows.withColumn("_parts", F.when(F.size("_m") > 0, F.split(F.col(text), PATTERN, -1)))
     filled = F.array_join(F.zip_with("_parts", F.concat(to, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    lens = F.transform("_m", lambda e, i: F.length(F.element_at("_parts", i + 1)) + F.length(e))
-    starts = F.transform("_m", lambda e, i: F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0), lambda a, b: a + b) + F.length(F.element_at("_parts", i + 1)))
-    spans = F.when(F.size("_m") > 0, F.transform("_m", lambda e, i: F.struct(
-        kind_of(e).alias("kind"), F.element_at(starts, i + 1).cast("long").alias("start"), F.length(e).cast("long").alias("length"))))
+    placed = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    ahead = F.transform("_m", lambda e, i: F.struct(F.length(F.element_at("_parts", i + 1)).alias("gap"), F.length(e).alias("own")))
+    starts = F.aggregate(ahead, placed, lambda s, x: F.struct((s["at"] + x["gap"] + x["own"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["gap"])).alias("starts")), lambda s: s["starts"])
+    spans = F.when(F.size("_m") > 0, let(starts, lambda at: F.transform("_m", lambda e, i: F.struct(
+        kind_of(e).alias("kind"), F.element_at(at, i + 1).alias("start"), F.length(e).cast("long").alias("length")))))
     rows = rows.withColumn("_new", F.when(F.size("_m") > 0, filled).otherwise(F.col(text)))
     rows = rows.withColumn("pii", F.coalesce(spans, F.array().cast("array<struct<kind:string,start:bigint,length:bigint>>")))
     keep = [c for c in docs.columns if c not in (text, "pii")]
