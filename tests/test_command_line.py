@@ -1,0 +1,30 @@
+import pytest
+
+from tersely.__main__ import main
+
+
+@pytest.fixture
+def folder(tmp_path, spark):
+    d = tmp_path / "c"
+    d.mkdir()
+    (d / "redundant_a.txt").write_text("We met 5 people.\n\nwe  met 5 people.\n\nIn order to end, stop.")
+    (d / "unique_b.txt").write_text("Nothing repeats here, 12 times.")
+    (d / "m.py").write_text("x = 1  # gone\n")
+    return d
+
+
+@pytest.mark.parametrize("args, expected", [
+    (["reduce", "{}/redundant_a.txt", "--stats", "--auto"], "We met 5 people.\n\nTo end, stop."),
+    (["reduce", "{}/redundant_a.txt", "--no-dedup", "--no-near-dedup", "--no-sentence-dedup", "--no-near-dedup-sentences", "--no-phrases"], "we met 5 people.\n\nIn order"),
+    (["code", "{}/m.py"], "x = 1\n"), (["tokens", "{}/unique_b.txt"], "6  file:"), (["classify", "--files", "9"], '"kind":"refactor"'),
+    (["plan", "{}/redundant_a.txt"], "1 chunks; required: 2 numbers"), (["corpus", "{}"], "every number preserved"), (["power"], "psi 0.05"),
+])
+def test_commands(folder, capsys, args, expected):
+    assert main([x.format(folder) for x in args]) == 0
+    assert expected in capsys.readouterr().out
+
+
+def test_verify(folder, capsys):
+    a, b = str(folder / "redundant_a.txt"), str(folder / "unique_b.txt")
+    assert main(["verify", a, a]) == 0 and main(["verify", a, b]) == 1
+    assert "numbers=[5, 5]" in capsys.readouterr().out
