@@ -12,7 +12,7 @@ The blocks depend on the number of distinct fingerprints: three blocks (t = 1) s
 anchors, two (t = 2) to 343 but with far fewer strangers at each; either finds every link.
 
 Equal fingerprints are one row before any replication. An anchor gives a spanning forest of its links, not all
-pairs. Anchors with many homes are dealt to sub-groups of homes, each with all rows near the anchor.
+pairs. An anchor with many homes becomes a grid of cells, each with a part of the homes and of the rows near it.
 
 Edge cases: null and empty texts have the zero fingerprint and link like any other; documents with fewer words
 than a shingle have one shingle; a null id never names a component unless all its ids are null; repeated rows
@@ -196,11 +196,15 @@ def links(distinct: DataFrame, threshold: int = 4, blocks: int | None = None, ro
 
     routed = distinct.select("fp").mapInArrow(route, "key long, fp long, home boolean")
     if n_crowded:
+        # a crowded anchor becomes a grid of cells: a home meets each part of the rows near the anchor in one cell
         small = F.broadcast(crowded) if n_crowded <= 10_000 else crowded
         routed = routed.join(small, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        mine = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
-        routed = (routed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-                  .select((F.col("key") * 1_000_003 + F.col("salt")).alias("key"), "fp", (F.col("home") & (mine == F.col("salt"))).alias("home")))
+        routed = routed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+        all_ = F.sequence(F.lit(0), F.col("salts") - 1)
+        as_near = F.transform(all_, lambda i: F.struct(i.alias("row"), F.col("own").alias("column"), F.lit(False).alias("home")))
+        as_home = F.transform(all_, lambda j: F.struct(F.col("own").alias("row"), j.alias("column"), F.lit(True).alias("home")))
+        routed = (routed.withColumn("cell", F.explode(F.when(F.col("home"), F.concat(as_near, as_home)).otherwise(as_near)))
+                  .select(F.xxhash64("key", "cell.row", "cell.column").alias("key"), "fp", "cell.home"))
     copies = sum(sum(map(len, b.near)) / len(b.near) for b in plan)
     tasks = max(1, int(n * copies / rows_a_task) + 1)
 
