@@ -20,10 +20,11 @@ def parts(df: DataFrame, doc: str, pieces: Column, out: str = "part") -> DataFra
 
 def first_occurrences(rows: DataFrame, doc: str | None, key: str, order: list[str], shortest: int = 0) -> DataFrame:
     """Rows whose key has not come before in the document (in all rows, without one). Keys under ``shortest``
-    characters always stay; they are kept out of the shuffle's hot groups by keying them by their place."""
-    w = W.partitionBy(*([doc] if doc else []), key).orderBy(*order)
-    ranked = rows.withColumn("_r", F.row_number().over(w))
-    return ranked.where((F.col("_r") == 1) | (F.length(key) < shortest)).drop("_r")
+    characters always stay; such a row is a group of its own, so a short key that is very common is no hot group."""
+    short = F.length(key) < shortest
+    alone = [F.when(short, F.col(c)) for c in order] if shortest else []
+    w = W.partitionBy(*([doc] if doc else []), F.when(short, F.lit("")).otherwise(F.col(key)) if shortest else key, *alone).orderBy(*order)
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def rebuild(rows: DataFrame, doc: str, part: str, order: str, separator: str, out: str = "text") -> DataFrame:
