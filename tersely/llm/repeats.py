@@ -155,9 +155,10 @@ def settle(keys: tuple, doc: np.ndarray, payload: np.ndarray):
     return order, ~same, doc[order] > least[group]
 
 
-#: Of a record's payload: two bits of kind, five of the run's length, the first window's place, the text's number.
+#: Of a record's payload: two bits of kind, five of the run's length, the first window's place, the text's number (up to 16 million
+#: texts of one id).
 NORMAL, SURE, STAND_IN = 0, 1, 2
-PLACE_BITS = 44
+PLACE_BITS = 31
 
 
 def slim(x: np.ndarray) -> bytes:
