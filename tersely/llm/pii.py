@@ -23,6 +23,7 @@ from ..functions.text import let
 from .common import cut
 
 KEY = "surrogate-key-1"
+HEX = "0123456789abcdef"
 
 # Given names by gender, titles by gender.
 FEMALE = ["Anna", "Clara", "Elena", "Emma", "Greta", "Hanna", "Ida", "Julia", "Laura", "Lena", "Maria", "Marta", "Nina", "Olga", "Paula", "Sofia"]
@@ -82,13 +83,13 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
-def keyed(key: str, *parts: Column, digits: int = 15) -> Column:
+def keyed(key: str | Column, *parts: Column, digits: int = 15) -> Column:
     """A number of ``digits`` hexadecimal digits from the key and the parts; parts are never null here."""
-    tag = F.sha2(F.concat_ws("\x1f", F.lit(key), *[p.cast("string") for p in parts]).cast("binary"), 256)
+    tag = F.sha2(F.concat_ws("\x1f", F.lit(key) if isinstance(key, str) else key, *[p.cast("string") for p in parts]).cast("binary"), 256)
     return F.conv(F.substring(tag, 1, digits), 16, 10).cast("long")
 
 
-def feistel(digits: Column, key: str, rounds: int = 4) -> Column:
+def feistel(digits: Column, key: str | Column, rounds: int = 4) -> Column:
     """A keyed bijection on strings of digits of one length (up to 18)."""
     def halves(d: Column) -> Column:
         left = F.floor(F.length(d) / 2).cast("int")
@@ -124,25 +125,27 @@ def refill(entity: Column, digits: Column, skip: Column) -> Column:
     return F.concat(F.substring(entity, F.lit(1), skip), let(rest, lambda r: let(digits, lambda new: fill(r, new))))
 
 
-def only_digits(x: Column) -> Column:
-    return F.regexp_replace(x, "[^0-9]", "")
+def number_surrogate(entity: Column, kind: Column, key: str) -> Column:
+    """All digits of a social security number, those of a phone number after the country code, and those of a
+    card between its first and its check digit; a card that passes the checksum gets one that does, any other
+    one that does not."""
+    card = kind == "card"
+    country = F.when(kind == "phone", F.length(F.regexp_extract(entity, "^\\+[0-9]{1,3}(?=[ .(-])", 0))).otherwise(0)
 
-
-def number_surrogate(entity: Column, key: str, skip: Column) -> Column:
-    rest = only_digits(F.substring(entity, skip + 1, F.length(entity)))
-    return refill(entity, feistel(rest, key), skip)
-
-
-def card_surrogate(entity: Column, key: str) -> Column:
-    """First digit kept; a number that passes the checksum gets one that does, any other one that does not."""
     def with_check(d: Column, body: Column) -> Column:
         n = F.length(d)
         off = (luhn_sum(F.substring(d, F.lit(1), n - 1)) + F.substring(d, n, F.lit(1)).cast("int")) % 10
         return F.concat(body, F.pmod(off - luhn_sum(body), F.lit(10)).cast("string"))
 
-    new = let(only_digits(entity), lambda d: let(F.concat(F.substring(d, 1, 1), feistel(F.substring(d, F.lit(2), F.length(d) - 2), key)),
-                                                 lambda body: with_check(d, body)))
-    return refill(entity, new, F.lit(0))
+    def new(d: Column) -> Column:
+        inner = F.when(card, F.substring(d, F.lit(2), F.length(d) - 2)).otherwise(d)
+        return let(feistel(inner, F.concat(F.lit(f"{key}/"), kind)), lambda mixed: F.when(
+            card, let(F.concat(F.substring(d, 1, 1), mixed), lambda body: with_check(d, body))).otherwise(mixed))
+
+    def whole(skip: Column) -> Column:
+        return refill(entity, let(F.regexp_replace(F.substring(entity, skip + 1, F.length(entity)), "[^0-9]", ""), new), skip)
+
+    return let(country, whole)
 
 
 def ip_surrogate(entity: Column, key: str) -> Column:
@@ -160,33 +163,38 @@ def ip_surrogate(entity: Column, key: str) -> Column:
     return let(octets, lambda o: F.aggregate(F.sequence(F.lit(1), F.lit(4)), start(o), turn, written))
 
 
-def stream(entity: Column, seed: Column, key: str, hexadecimal: bool = False) -> Column:
+def stream(text: Column, seed: Column, key: str, hexadecimal: Column) -> Column:
     """Each letter or digit replaced by one of its class: digit, case, script; other characters stay."""
     pools = [("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
              ("[à-öø-ÿ]", "àáâäçèéêëíîïñóôöúûü"), ("[а-я]", "абвгдежзиклмнопрстуфхцчшэюя"), ("[А-Я]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω")]
-    if hexadecimal:
-        pools = [("[0-9a-f]", "0123456789abcdef"), ("[A-F]", "0123456789ABCDEF")]
 
     def swap(c: Column, draw: Column) -> Column:
         out = c
         for pattern, pool in reversed(pools):
             out = F.when(c.rlike(pattern), F.substring(F.lit(pool), (F.pmod(draw, F.lit(len(pool))) + 1).cast("int"), F.lit(1))).otherwise(out)
-        return out
+        digit = F.substring(F.lit(HEX), (F.pmod(draw, F.lit(16)) + 1).cast("int"), F.lit(1))
+        return F.when(hexadecimal, F.when(c.rlike("[A-F]"), F.upper(digit)).otherwise(digit)).otherwise(out)
 
-    def each(e: Column, own: Column) -> Column:
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: let(
-            F.substring(e, i, F.lit(1)), lambda c: let(keyed(key, own, i, digits=8), lambda draw: swap(c, draw)))), "")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: let(
+        F.substring(text, i, F.lit(1)), lambda c: let(keyed(key, seed, i, digits=8), lambda draw: swap(c, draw)))), "")
 
-    return let(entity, lambda e: let(seed, lambda own: each(e, own)))
 
+def letter_surrogate(entity: Column, kind: Column, key: str) -> Column:
+    """Parts that stay and parts that are replaced. Of an address, the local part depends on the whole of it, the
+    host on the domain alone, and the top level stays; of a secret or an account, a known beginning stays."""
+    def part(text: Column, seed: Column | None = None) -> Column:
+        return F.struct(text.alias("text"), (F.lit("") if seed is None else seed).alias("seed"), F.lit(seed is None).alias("stays"))
 
-def email_surrogate(entity: Column, key: str) -> Column:
-    """The local part depends on the whole address, the domain on the domain alone; the top level stays."""
-    whole = F.lower(entity)
-    local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
+    domain = F.substring_index(entity, "@", -1)
     top = F.substring_index(domain, ".", -1)
-    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    return F.concat(stream(local, whole, key), F.lit("@"), stream(host, F.lower(domain), key), F.lit("."), top)
+    address = F.array(part(F.substring_index(entity, "@", 1), F.lower(entity)), part(F.lit("@")),
+                      part(F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1), F.lower(domain)), part(F.concat(F.lit("."), top)))
+    begins = F.when(kind == "account", 2).otherwise(F.length(F.regexp_extract(entity, "^(?:AKIA|gh[pousr]_|sk-)", 0)))
+    other = F.array(part(F.substring(entity, F.lit(1), begins)), part(F.substring(entity, begins + 1, F.length(entity)), entity))
+    hexadecimal = (kind == "secret") & entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    parts = F.when(kind == "email", address).otherwise(other)
+    return let(hexadecimal, lambda hexa: F.array_join(F.transform(parts, lambda p: F.when(
+        p["stays"] | (p["text"] == ""), p["text"]).otherwise(stream(p["text"], p["seed"], key, hexa))), ""))
 
 
 def pick(pool: list[str], n: Column) -> Column:
@@ -216,17 +224,9 @@ def name_surrogate(entity: Column, key: str) -> Column:
 def surrogate(entity: Column, key: str = KEY) -> Column:
     """The entity's replacement. Values that several places need are bound once, as a lambda's variable."""
     def by_kind(e: Column, kind: Column) -> Column:
-        country = F.length(F.regexp_extract(e, "^\\+[0-9]{1,3}(?=[ .(-])", 0))
-        whole_secret = e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-        prefix = F.length(F.regexp_extract(e, "^(?:AKIA|gh[pousr]_|sk-)", 0))
-        return (F.when(kind == "email", email_surrogate(e, key)).when(kind == "ip", ip_surrogate(e, key))
-                .when(kind == "ssn", number_surrogate(e, f"{key}/ssn", F.lit(0)))
-                .when(kind == "phone", let(country, lambda skip: number_surrogate(e, f"{key}/phone", skip)))
-                .when(kind == "card", card_surrogate(e, f"{key}/card"))
-                .when(kind == "account", F.concat(F.substring(e, 1, 2), stream(F.substring(e, F.lit(3), F.length(e)), e, key)))
-                .when((kind == "secret") & whole_secret, stream(e, e, key, True))
-                .when(kind == "secret", F.concat(F.substring(e, F.lit(1), prefix), stream(F.substring(e, prefix + 1, F.length(e)), e, key)))
-                .otherwise(name_surrogate(e, key)))
+        return (F.when(kind.isin("email", "account", "secret"), letter_surrogate(e, kind, key))
+                .when(kind.isin("ssn", "phone", "card"), number_surrogate(e, kind, key))
+                .when(kind == "ip", ip_surrogate(e, key)).otherwise(name_surrogate(e, key)))
 
     return let(entity, lambda e: let(kind_of(e), lambda kind: by_kind(e, kind)))
 
@@ -239,17 +239,16 @@ def canonical(entity: Column) -> Column:
 def collisions(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """(entity, replacement) for the entities whose plain replacement another entity has as well.
 
-    The list holds each distinct entity once, and is grouped by replacement; only the smallest entity of a group
-    keeps it. A tagged replacement carries 60 keyed bits.
+    The texts are read once; the list holds each distinct entity once, and is grouped by replacement; only the
+    smallest entity of a group keeps it. A tagged replacement carries 60 keyed bits.
     """
-    found = cut(docs.select(F.explode(F.array_distinct(mentions(F.col(text)))).alias("entity")).distinct())  # one pass over the texts
-    listed = found.select("entity", canonical(F.col("entity")).alias("who"), F.lower(surrogate(F.col("entity"), key)).alias("to"))
-    shared = listed.groupBy("to").agg(F.min("who").alias("keeps"), F.max("who").alias("_most")).where("keeps != _most").drop("_most")
-    lost = listed.join(shared, "to").where("who != keeps")
+    found = docs.select(F.explode(F.array_distinct(mentions(F.col(text)))).alias("entity")).distinct()
+    listed = cut(found.select("entity", canonical(F.col("entity")).alias("who"), surrogate(F.col("entity"), key).alias("plain")))
+    shared = listed.groupBy(F.lower("plain").alias("to")).agg(F.min("who").alias("keeps"), F.max("who").alias("_most")).where("keeps != _most").drop("_most")
+    lost = listed.join(shared, F.lower("plain") == F.col("to")).where("who != keeps")
     tag = F.lower(F.hex(keyed(key, F.lit("tag"), F.col("who"))))
-    plain = surrogate(F.col("entity"), key)
-    tagged = (F.when(F.col("entity").contains("@"), F.concat(F.substring_index(plain, "@", 1), F.lit("."), tag, F.lit("@"), F.substring_index(plain, "@", -1)))
-              .otherwise(F.concat(plain, F.lit("-"), tag)))
+    tagged = (F.when(F.col("entity").contains("@"), F.concat(F.substring_index("plain", "@", 1), F.lit("."), tag, F.lit("@"), F.substring_index("plain", "@", -1)))
+              .otherwise(F.concat("plain", F.lit("-"), tag)))
     return lost.select("entity", tagged.alias("replacement"))
 
 
