@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars, on DataFrames.
 
-Every step is a minimum by node and a join; no node's neighbours are ever collected, so a star with very many
-leaves is as cheap a row as any other. Lineage is cut by checkpoints in the shared folder.
+Every step is a minimum by node and a join with the nodes that it moves; no node's neighbours are ever collected.
+The minima are combined before they are shuffled and written to the shared folder, so that the join's two sides
+are plain shuffles, of which Spark splits large partitions: a star with very many leaves is no single task.
 """
 
 from __future__ import annotations
@@ -13,16 +14,20 @@ from .common import cut
 
 
 def _large(e: DataFrame) -> DataFrame:
+    """Every node's larger neighbours go to its smallest one. A node that is the smallest moves nothing."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    moved = cut(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u"))
+    up = both.where("v > u").join(moved, "u", "left")
+    return up.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).where("u != v").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours go to the smallest of these. A node with one of them stays."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+    moved = cut(down.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")).where("m != most").drop("most"))
+    linked = down.join(moved, "u", "left")
+    own = F.col("m").isNull() | (F.col("v") == F.col("m"))
+    return linked.select(F.when(own, F.col("u")).otherwise(F.col("v")).alias("u"), F.coalesce("m", "v").alias("v")).where("u != v").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
