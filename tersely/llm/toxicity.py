@@ -132,7 +132,7 @@ def votes(rows: DataFrame, voters: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 out.append(sorted(own) + [len(voters) + i for i, f in enumerate(forms(text)) if f])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], ["fired", "label"])
 
-    got = rows.mapInArrow(fire, "fired array<int>, label double").orderBy(F.col("fired").cast("string"), "label").collect()
+    got = sorted(rows.mapInArrow(fire, "fired array<int>, label double").collect(), key=lambda r: (r["fired"], r["label"]))  # ``most_rows`` at most
     x = np.zeros((len(got), len(voters) + len(FORMS)), np.float32)
     for i, r in enumerate(got):
         x[i, r["fired"]] = 1
