@@ -172,12 +172,12 @@ def evidence(x: np.ndarray, post: np.ndarray) -> np.ndarray:
     return np.where(share > p, n * gap, 0.0)
 
 
-def centres(x: np.ndarray, post: np.ndarray, share: np.ndarray, seeds: int, likely: float = 3.0) -> np.ndarray:
-    """Where the classifier's weights are drawn to: for seeds that chance does not explain, the label model's own
-    weight; nought for all other signs, which must earn theirs."""
+def centres(x: np.ndarray, post: np.ndarray, seeds: int, likely: float = 3.0) -> np.ndarray:
+    """Where the classifier's weights are drawn to: for seeds that chance does not explain, the label model's log
+    odds, whole, since of the signs that fire with a seed it alone is drawn; nought for all other signs."""
     on, off = post.sum() + 1, (1 - post).sum() + 1
     odds = np.log(np.clip((post @ x + 0.05) / on, 1e-6, 1) / np.clip(((1 - post) @ x + 0.05) / off, 1e-6, 1))
-    return np.where((np.arange(x.shape[1]) < seeds) & (evidence(x, post) >= likely), share * odds, 0.0)
+    return np.where((np.arange(x.shape[1]) < seeds) & (evidence(x, post) >= likely), odds, 0.0)
 
 
 def logistic(x: np.ndarray, target: np.ndarray, centre: np.ndarray | None = None, penalty: float = 0.3, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -204,8 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12_000, most_voters
     if not len(y) or y.min() == y.max():
         weights = np.array([4.0 if v[:-1] in SEEDS else 0.0 for v in voters] + [0.0] * len(FORMS))
         return Model(voters, weights, -2.0)
-    post, share = label_model(x, y)
-    weights, bias = logistic(x, post, centres(x, post, share, len(SEEDS)))
+    post, _ = label_model(x, y)
+    weights, bias = logistic(x, post, centres(x, post, len(SEEDS)))
     # a sign that never fired on a row has no evidence; a seed then keeps a moderate weight
     weights = np.where(x.sum(axis=0) > 0, weights, [2.0 if i < len(SEEDS) else 0.0 for i in range(x.shape[1])])
     return Model(voters, weights, bias)
