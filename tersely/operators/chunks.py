@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,6 @@ from ..functions import kernels
 from ..functions import text as X
 from . import fidelity, reduce
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SYSTEM = ("Shorten the text without losing any fact. Keep every number, date, amount, unit, code span, quotation, proper name and "
           "contractual wording exactly as written. Merge repetition and tighten the prose around them; add nothing, leave no detail "

@@ -3,11 +3,9 @@
 import math
 import random
 import statistics
-import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,7 +14,6 @@ from ..functions import constants as K
 from ..functions import kernels
 from ..functions import text as X
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RESULT = ("id long, condition string, gold double, predicted double, correct boolean, input_chars int, input_tokens int, "
           "token_method string, latency_s double, raw_response string, error string")

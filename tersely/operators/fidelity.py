@@ -1,17 +1,14 @@
 """What a rewrite must keep word for word, and whether it did."""
 
 import re
-import sys
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions import text as X
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TAIL = r"(?:['\-][A-Za-z0-9]+)?"
 RUN = re.compile(rf"\b[A-Z][A-Za-z0-9]*{TAIL}(?:\s+[A-Z][A-Za-z0-9]*{TAIL})+\b")
