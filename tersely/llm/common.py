@@ -24,6 +24,15 @@ def ship(module_name: str) -> None:
 ship(__name__)
 
 
+def worker_cache() -> dict:
+    """A dictionary that lasts as long as the Python worker, which runs many tasks: a module's own variables, being
+    shipped by value, are new in each."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_tersely_worker", types.ModuleType("_tersely_worker")).__dict__
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder in spark.checkpoint.dir; only a local session without one gets its own."""
     sc = spark.sparkContext

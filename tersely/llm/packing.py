@@ -20,22 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gapless, ship
+from .common import cut, gapless, ship, worker_cache
 
 ship(__name__)
 
 TOKENIZER = "byte_bpe_50k.json"
-_CODERS: dict = {}
 
 
 def coder(name: str):
-    """A function from a list of texts to their ids, made once in each worker.
+    """A function from a text to its ids, made once in each worker.
 
     The ids are those of the ``tokenizers`` file. Texts of Latin-1 characters go through the same vocabulary as
     ranks, whose word pattern treats these characters alike and which is about four times as fast; all others
     go through ``tokenizers`` itself. tests/llm holds the two against each other.
     """
-    if name not in _CODERS:
+    coders = worker_cache().setdefault("coders", {})
+    if name not in coders:
         import base64
         import os
 
@@ -58,8 +58,8 @@ def coder(name: str):
                 return exact.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
-        _CODERS[name] = encode
-    return _CODERS[name]
+        coders[name] = encode
+    return coders[name]
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
