@@ -101,13 +101,19 @@ def drop_comments(text: Column) -> Column:
 
 
 def shorten_phrases(text: Column, pairs=K.PHRASES) -> Column:
-    """For text without code or quoted lines; a match that begins upper-case keeps that."""
-    for phrase, short in K.longest_first(pairs):
-        first, rest = phrase[0], phrase[1:]
-        raised = short[:1].upper() + short[1:]
-        text = F.regexp_replace(text, f"(?U)\\b{first.upper()}(?i:{rest})\\b", raised)
-        text = F.regexp_replace(text, f"(?U)\\b{first}(?i:{rest})\\b", short)
-    return F.regexp_replace(F.regexp_replace(text, "[ \\t]{2,}", " "), f"{SPACE}+([.,;:!?])", "$1")
+    """For text without code or quoted lines; a match that begins upper-case keeps that. A fold over the rules, so
+    that a rule whose phrase a text has not costs a substring search and no pattern."""
+    def rule(phrase: str, short: str) -> Column:
+        rest = f"(?i:{phrase[1:]})\\b"
+        return F.struct(F.lit(phrase.lower()).alias("plain"), F.lit(f"(?U)\\b{phrase[0].upper()}{rest}").alias("raised"),
+                        F.lit(short[:1].upper() + short[1:]).alias("capital"), F.lit(f"(?U)\\b{phrase[0]}{rest}").alias("low"), F.lit(short).alias("short"))
+
+    def apply(t: Column, r: Column) -> Column:
+        changed = F.regexp_replace(F.regexp_replace(t, r["raised"], r["capital"]), r["low"], r["short"])
+        return F.when(F.contains(F.lower(t), r["plain"]), changed).otherwise(t)
+
+    done = F.aggregate(F.array(*[rule(a, b) for a, b in K.longest_first(pairs)]), text, apply)
+    return F.regexp_replace(F.regexp_replace(done, "[ \\t]{2,}", " "), f"{SPACE}+([.,;:!?])", "$1")
 
 
 def pack_json(text: Column) -> Column:
@@ -241,6 +247,7 @@ def absent(spans: Column, digest: Column) -> Column:
 
 # --- answers -------------------------------------------------------------------------------------------------
 
+# What a number looks like in an answer, and what announces one.
 NUM_CORE = "\\d[\\d,]*(?:\\.\\d+)?%?"
 MARKER = ("(?i)(?:final answer is|final answer|the answer is|answer is|answer)\\s*[:\\-]?\\s*"
           "(?:actually|really|indeed|therefore|thus|now|approximately|about|roughly|around|equal to|equals|=)?\\s*(-?\\$?" + NUM_CORE + ")")
