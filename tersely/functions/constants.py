@@ -62,6 +62,8 @@ NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 FENCE = r"```.*?```|~~~.*?~~~"
 INLINE = r"`[^`\n]*`"
 METHOD = "heuristic(words*1.3)"
+# How the names of exact counting methods begin.
+EXACT_METHODS = ("tiktoken", "anthropic-api")
 WORD_FACTOR = 1.3
 MIN_SENTENCE = 25
 LIST_SIMILARITY = 0.90

@@ -30,7 +30,8 @@ def tokens(text: Column) -> Column:
 
 
 def is_estimate(method: Column) -> Column:
-    return ~(method.startswith("tiktoken") | method.startswith("anthropic-api"))
+    first, second = K.EXACT_METHODS
+    return ~(method.startswith(first) | method.startswith(second))
 
 
 def key(text: Column) -> Column:
