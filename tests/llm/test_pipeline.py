@@ -49,3 +49,16 @@ def test_mixing_takes_the_words_it_says(spark):
         words[r.doc_id] += n
         assert text[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
     assert words == Counter({d: n for d, n in taken.items() if n})
+
+
+def test_stages_on_nulls_and_nothing(spark, sf_dir):
+    rows = [(None, None, None, None, None), (None, "a b c d e", None, None, 9), (1, None, "en", "s", None), (1, "", "en", "s", 0), (2, "x y z " * 50, None, "s", 0), (2, "x y z " * 50, None, "s", 0)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, DOCS)
+        for _, stage in P.STAGES[:-1]:
+            docs = stage(spark, docs, sf_dir).checkpoint()
+            assert [f.name for f in docs.schema] == ["doc_id", "text", "lang", "source", "n_chars"]
+        packed = P.STAGES[-1][1](spark, docs, sf_dir).collect()
+        assert len(packed) == docs.count()
+        if data:
+            assert {r.doc_id for r in packed} == {2, None}
