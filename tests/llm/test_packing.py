@@ -92,3 +92,9 @@ def test_plan_packs_everything(lengths):
 
 def test_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_runs_of_white_space_beyond_the_fast_coder():
+    fast = packing.coder(packing.TOKENIZER)
+    for text in (" " * 2_000_000, "a" + "\n" * 1_000_000 + "b"):
+        assert fast(text) == exact_ids(text)
