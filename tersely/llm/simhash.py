@@ -224,9 +224,17 @@ def one_of_each(docs: DataFrame, threshold: int = 4, shingle: int = 4) -> DataFr
     The rows that stay are found on narrow rows; texts move once, to meet them. Only where a row is repeated
     whole are rows of one id and text compared once more.
     """
-    tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    groups = near_duplicates(docs, threshold, shingle, tie=tie)
-    w = W.partitionBy("component_id").orderBy(F.col("doc_id").asc_nulls_last(), "tie")
+    tie = text_hash()
+    return first_of(docs, near_duplicates(docs, threshold, shingle, tie=tie), tie)
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def first_of(docs: DataFrame, groups: DataFrame, tie: Column, by: str = "component_id") -> DataFrame:
+    """The first row of each of the ``groups`` (doc_id, tie, ``by``)."""
+    w = W.partitionBy(by).orderBy(F.col("doc_id").asc_nulls_last(), "tie")
     kept = cut(groups.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")))
     rows = docs.withColumn("_tie", tie)
     out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_d"]) & (rows["_tie"] == kept["_t"]), "left_semi")
