@@ -5,7 +5,8 @@ entity alone decide, so a mention is replaced alike in every document (coreferen
 digits (cards, phones, social security and IP numbers) go through a keyed Feistel network over their digits, a
 bijection on numbers of one format: distinct numbers stay distinct, separators, the country code and a card's
 first digit and checksum validity stay. Letters of e-mail addresses, secrets and account numbers are replaced
-by letters of the same script and case from a keyed stream; names by names of the same gender and script.
+by letters of the same script and case from a keyed stream; names by names of the same gender and script. A name
+is found by its title; in that text it, and its family name, are then replaced without the title as well.
 
 Collision check: all distinct entities of the corpus are listed with their replacements; where two share one,
 all but the smallest get a keyed tag of their own, and the list is checked again.
@@ -35,13 +36,20 @@ CYRILLIC_SYLLABLES = ["ба", "вер", "дан", "кол", "лин", "мар",
 FEMALE_TITLES = "Mrs|Ms|Miss|Mme|Frau|Sra|Señora|Madame|Г-жа"
 MALE_TITLES = "Mr|Herr|Sr|Señor|Monsieur|Г-н"
 
+# A phone's groups: an address after a space is none, and a space after a hyphen or dot ends the number.
+GROUP = "[0-9]{2,4}"
+SPACED = f"(?: (?!(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}(?!\\.?[0-9])))?{GROUP}"
+AREA = f"(?:\\([0-9]{{2,4}}\\)|{GROUP})"
+NORTH_AMERICA = "\\+1[ .-]?(?:\\([0-9]{3}\\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+ABROAD = f"\\+[0-9]{{1,3}}[ .-]?{AREA}(?:[.-]{GROUP}|{SPACED})(?:(?:{SPACED}){{1,3}}(?:[.-]?{GROUP}){{0,2}}|(?:[.-]?{GROUP}){{1,3}})(?![0-9])"
+
 # The kinds, in the order in which they are tried at a place in the text.
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 KINDS = [
     ("email", "(?<![\\p{L}0-9._%+-])[\\p{L}0-9._%+-]{1,64}@(?:[\\p{L}0-9-]{1,63}\\.){1,8}[\\p{L}]{2,24}(?![\\p{L}0-9-])"),
     ("ip", f"(?<![0-9.])(?:{OCTET}\\.){{3}}{OCTET}(?![0-9]|\\.[0-9])"),
     ("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("phone", "(?<![\\p{L}0-9+])\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{2,4}\\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+    ("phone", f"(?<![\\p{{L}}0-9+])(?:{NORTH_AMERICA}|{ABROAD})"
               "|(?<![\\p{L}0-9(])\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\\p{L}0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"),
     ("card", "(?<![\\p{L}0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![\\p{L}0-9])"),
     ("account", "(?<![\\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}0-9])"),
@@ -67,6 +75,34 @@ def mentions(text: Column) -> Column:
     return F.when(maybe(text), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+TITLE = f"^(?:{FEMALE_TITLES}|{MALE_TITLES})\\.? "
+
+
+def titled(found: Column) -> Column:
+    """The names among the mentions of a text; they all have a title."""
+    return F.filter(found, lambda e: e.rlike(TITLE))
+
+
+def untitled(entity: Column) -> Column:
+    return entity.rlike("^\\p{Lu}\\p{Ll}{1,24}(?: \\p{Lu}\\p{Ll}{1,24})?$") & ~entity.rlike(TITLE)
+
+
+def pattern_with(names: Column) -> Column:
+    """The pattern, and the names' whole and family parts wherever they stand without a title."""
+    whole = F.transform(names, lambda e: F.regexp_replace(e, TITLE, ""))
+    bare = F.array_distinct(F.concat(whole, F.transform(whole, lambda n: F.substring_index(n, " ", -1))))
+    first = F.array_sort(bare, lambda a, b: F.length(b) - F.length(a))
+    return F.concat(F.lit(PATTERN + "|(?<![\\p{L}0-9])(?:"), F.array_join(first, "|"), F.lit(")(?![\\p{L}0-9])"))
+
+
+def as_titled(entity: Column, names: Column, to: Column) -> Column:
+    """An untitled mention's replacement: that of the first name that it is or ends, as far as it is mentioned."""
+    at = F.array_position(F.transform(names, lambda n: F.regexp_replace(n, TITLE, "") == entity), True)
+    ends = F.array_position(F.transform(names, lambda n: F.endswith(n, F.concat(F.lit(" "), entity))), True)
+    new = F.regexp_replace(F.element_at(to, F.when(at > 0, at).otherwise(ends).cast("int")), TITLE, "")
+    return F.when(entity.contains(" "), new).otherwise(F.substring_index(new, " ", -1))
+
+
 def kind_of(entity: Column) -> Column:
     out = F.lit("name")
     for name, _ in reversed(KINDS[:-1]):
@@ -266,16 +302,24 @@ def replace_documents(docs: DataFrame, key: str = KEY, text: str = "text", check
         other = (wanted.join(tagged, "entity").groupBy(F.col("_id").alias("_t"))
                  .agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_other")))
         rows = rows.withColumn("_id", F.xxhash64(text)).join(other, F.col("_id") == F.col("_t"), "left").drop("_t", "_id")
-        to = F.transform("_m", lambda e: F.coalesce(F.try_element_at(F.col("_other"), e), surrogate(e, key)))
+        def new(e: Column) -> Column:
+            return F.coalesce(F.try_element_at(F.col("_other"), e), surrogate(e, key))
     else:
-        to = F.transform("_m", lambda e: surrogate(e, key))
-    rows = rows.withColumn("_parts", F.when(F.size("_m") > 0, F.split(F.col(text), PATTERN, -1)))
+        def new(e: Column) -> Column:
+            return surrogate(e, key)
+    # only a text with a name is searched again, for mentions of it without the title
+    rows = rows.withColumn("_n", titled(F.col("_m"))).withColumn("_p", F.when(F.size("_n") > 0, pattern_with(F.col("_n"))))
+    rows = rows.withColumn("_m", F.when(F.col("_p").isNotNull(), F.regexp_extract_all(F.col(text), F.col("_p"), F.lit(0))).otherwise(F.col("_m")))
+    rows = rows.withColumn("_to", F.transform("_n", new))
+    to = F.transform("_m", lambda e: F.when((F.size("_n") > 0) & untitled(e), as_titled(e, F.col("_n"), F.col("_to"))).otherwise(new(e)))
+    rows = rows.withColumn("_parts", F.when(F.col("_p").isNotNull(), F.split(F.col(text), F.col("_p"), -1))
+                           .when(F.size("_m") > 0, F.split(F.col(text), PATTERN, -1)))
     filled = F.array_join(F.zip_with("_parts", F.concat(to, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     placed = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
     ahead = F.transform("_m", lambda e, i: F.struct(F.length(F.element_at("_parts", i + 1)).alias("gap"), F.length(e).alias("own")))
     starts = F.aggregate(ahead, placed, lambda s, x: F.struct((s["at"] + x["gap"] + x["own"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["gap"])).alias("starts")), lambda s: s["starts"])
     spans = F.when(F.size("_m") > 0, let(starts, lambda at: F.transform("_m", lambda e, i: F.struct(
-        kind_of(e).alias("kind"), F.element_at(at, i + 1).alias("start"), F.length(e).cast("long").alias("length")))))
+        F.when((F.size("_n") > 0) & untitled(e), "name").otherwise(kind_of(e)).alias("kind"), F.element_at(at, i + 1).alias("start"), F.length(e).cast("long").alias("length")))))
     rows = rows.withColumn("_new", F.when(F.size("_m") > 0, filled).otherwise(F.col(text)))
     rows = rows.withColumn("pii", F.coalesce(spans, F.array().cast("array<struct<kind:string,start:bigint,length:bigint>>")))
     keep = [c for c in docs.columns if c not in (text, "pii")]

@@ -70,3 +70,18 @@ def test_collisions_are_resolved(spark):
 
 def test_empty(spark):
     assert pii.replace_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_phones_leave_what_follows_and_names_lose_their_title(spark):
+    texts = ["+1 (826) 555-4081 190.137.223.204", "+1 (017) 555-7713 42 people", "+1 (017) 555-7713", "+44 (20) 7946-0958 12 seats", "+49 30 1234 5678 10.1.2.3",
+             "+46 70-123 45 67 x", "Smith? Mrs Jane Smith came. Later Jane Smith left, and Smith too; Blacksmith Smithson stay."]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in pii.replace_documents(df).collect()}
+    found = [[(p.kind, texts[i][p.start : p.start + p.length]) for p in got[i].pii] for i in range(7)]
+    assert found[0] == [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")] and "223.204" not in got[0].text
+    assert found[1] == [("phone", "+1 (017) 555-7713")] and got[1].text == got[2].text + " 42 people"
+    assert found[3] == [("phone", "+44 (20) 7946-0958")] and found[4] == [("phone", "+49 30 1234 5678"), ("ip", "10.1.2.3")]
+    assert found[5] == [("phone", "+46 70-123 45 67")]
+    assert found[6] == [("name", x) for x in ("Smith", "Mrs Jane Smith", "Jane Smith", "Smith")]
+    given, family = re.search(r"Mrs (\w+) (\w+)", got[6].text).groups()
+    assert got[6].text == f"{family}? Mrs {given} {family} came. Later {given} {family} left, and {family} too; Blacksmith Smithson stay."
