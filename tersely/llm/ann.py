@@ -3,7 +3,8 @@
 Equal vectors are one node that carries its smallest ids. Nodes are dealt to shards of bounded size by a hash of
 the id. A shard's index is a hierarchical navigable small-world graph in flat arrays: a level for each node
 (geometric, by hash), and for each level one array of neighbours, ``degree`` a node. Inner product becomes a
-distance by one more coordinate that gives all vectors of the shard the same length. Neighbours are chosen among
+distance by one more coordinate that gives all vectors of a graph the same length; vectors of a shard whose lengths
+lie far apart are graphs of their own. Neighbours are chosen among
 the nearest nodes by the usual diversity rule, and links run both ways.
 
 A search enters at the top, descends greedily, and keeps a beam on the ground level; all queries of a block move
@@ -75,13 +76,51 @@ def level_links(vectors: np.ndarray, degree: int, block: int = 256) -> np.ndarra
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
-    """Vectors of one length 1 whose inner products with (q, 0) rank like the original ones."""
+    """Vectors of one length 1, in double precision, whose inner products with (q, 0) rank like the original ones."""
     x = x.astype(np.float64)
     norms = np.sqrt(np.einsum("nd,nd->n", x, x))
     top = norms.max()
     x = x / top
     rest = np.sqrt(np.maximum(0, 1 - (norms / top) ** 2))
-    return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
+    return np.concatenate([x, rest[:, None]], axis=1)
+
+
+def bands(x: np.ndarray, ratio: float = 32.0) -> list[np.ndarray]:
+    """Positions by length, longest first, cut where the longest of a band is more than ``ratio`` times as long: lifted
+    beside one that is far longer, vectors would all look alike. Ordinary vectors are one band."""
+    norms = np.sqrt(np.einsum("nd,nd->n", x, x, dtype=np.float64))
+    order = np.argsort(-norms, kind="stable")
+    out, at = [], 0
+    while at < len(order):
+        to = at + int(np.searchsorted(-norms[order[at:]], -norms[order[at]] / ratio, "right"))
+        out.append(np.sort(order[at:to]))
+        at = to
+    return out
+
+
+def reached(table: np.ndarray, start: np.ndarray, seen: np.ndarray) -> None:
+    """Mark in ``seen`` all that can be reached from ``start``."""
+    seen[start] = True
+    while len(start):
+        near = np.unique(table[start])
+        start = near[near >= 0]
+        start = start[~seen[start]]
+        seen[start] = True
+
+
+def all_reachable(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``table`` with one column more where nodes cannot be reached from the first: the nearest node that can be, and
+    has its place free, links to one of them."""
+    seen, extra = np.zeros(len(x), bool), np.full((len(x), 1), -1, np.int32)
+    reached(table, np.array([0]), seen)
+    if seen.all():
+        return table
+    while not seen.all():
+        u = int(np.argmin(seen))
+        free = np.flatnonzero(seen & (extra[:, 0] < 0))
+        extra[free[np.argmax(x[free] @ x[u])], 0] = u
+        reached(np.concatenate([table, extra], axis=1), np.array([u]), seen)
+    return np.concatenate([table, extra], axis=1)
 
 
 def levels_of(ids: np.ndarray, degree: int) -> np.ndarray:
@@ -100,6 +139,8 @@ def build(ids: np.ndarray, vectors: np.ndarray, degree: int) -> tuple[np.ndarray
     for level in range(int(levels.max()) + 1):
         nodes = np.flatnonzero(levels >= level)
         table = level_links(x[nodes], degree if level == 0 else max(2, degree // 2))
+        if level == 0:
+            table = all_reachable(table, x)
         graph.append((nodes, np.where(table >= 0, nodes[table], -1).astype(np.int32)))
     return levels, graph
 
@@ -130,6 +171,10 @@ def search(x: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], queries: n
     ids[:, 0], sims[:, 0], open_[:, 0] = at, best, True
     seen = np.zeros((nq, n), bool)
     seen[np.arange(nq), at] = True
+    if beam > 1:  # from the first node all others can be reached
+        other = at != 0
+        ids[other, 1], sims[other, 1], open_[other, 1] = 0, (q @ x[0])[other], True
+        seen[:, 0] = True
     live = np.arange(nq)
     while len(live):
         order = np.argsort(~open_[live], axis=1, kind="stable")[:, :widen]  # beams are sorted: the nearest open ones
@@ -175,18 +220,20 @@ def nodes_of(vectors: DataFrame, most: int) -> DataFrame:
 
 def build_index(nodes: DataFrame, shards: int, degree: int = 32) -> DataFrame:
     """(rep, vector, ids) -> the index's flat rows: shard, rep, level, vector, ids, links (positions by level,
-    in order of ``rep`` within the shard)."""
+    in order of ``rep`` within the band of the shard)."""
     sharded = nodes.select(F.pmod(F.xxhash64("rep", F.size("vector")), F.lit(shards)).cast("int").alias("shard"), F.size("vector").alias("dim"), "rep", "vector", "ids")
 
     def make(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
         ids = table["rep"].to_numpy()
         x = np.array(table["vector"].to_pylist(), np.float32)
-        levels, graph = build(ids, x, degree)
         links: list[list] = [[] for _ in ids]
-        for nodes_, rows in graph:
-            for i, row in zip(nodes_.tolist(), rows):
-                links[i].append(row[row >= 0])
+        levels = np.zeros(len(ids), np.int32)
+        for band in bands(x):
+            levels[band], graph = build(ids[band], x[band], degree)
+            for nodes_, rows in graph:
+                for i, row in zip(band[nodes_].tolist(), rows):
+                    links[i].append(row[row >= 0])
         return pa.table({"shard": table["shard"], "rep": table["rep"], "level": pa.array(levels), "vector": pa.array(list(x), pa.list_(pa.float32())),
                          "ids": pa.array(table["ids"].to_pylist(), pa.list_(pa.int64())), "links": pa.array(links, pa.list_(pa.list_(pa.int32())))})
 
@@ -211,18 +258,24 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int = 21,
         nodes = nodes.sort_by("rep")
         raw = np.array(nodes["vector"].to_pylist(), np.float32)
         links = nodes["links"].to_pylist()
-        graph = []
-        for level in range(int(max(nodes["level"].to_pylist())) + 1):
-            own = np.array([i for i, x in enumerate(links) if len(x) > level], np.int64)
-            table = np.full((len(own), degree), -1, np.int32)
-            for r, i in enumerate(own):
-                table[r, : len(links[i][level])] = links[i][level]
-            graph.append((own, table))
         want = np.array(asked["vector"].to_pylist(), np.float32).astype(np.float64)
         unit = (want / np.abs(want).max(axis=1, keepdims=True)).astype(np.float32)
-        got = np.concatenate([search(lifted(raw), graph, unit[i : i + 256], k, max(beam, k)) for i in range(0, len(unit), 256)])
-        row, col = np.nonzero(got >= 0)
-        node = got[row, col]
+        row, node = [], []
+        for band in bands(raw):
+            graph = []
+            for level in range(max(len(links[i]) for i in band)):
+                own = np.array([j for j, i in enumerate(band) if len(links[i]) > level], np.int64)
+                table = np.full((len(own), degree + 1), -1, np.int32)
+                for r, j in enumerate(own):
+                    near = links[band[j]][level]
+                    table[r, : len(near)] = near
+                graph.append((own, table))
+            x = lifted(raw[band]).astype(np.float32)
+            got = np.concatenate([search(x, graph, unit[i : i + 256], k, max(beam, k)) for i in range(0, len(unit), 256)])
+            r, c = np.nonzero(got >= 0)
+            row.append(r)
+            node.append(band[got[r, c]])
+        row, node = np.concatenate(row), np.concatenate(node)
         exact = raw.astype(np.float64)
         score = np.einsum("md,md->m", want[row], exact[node])
         return pa.table({"h0": asked["h0"].to_numpy()[row], "h1": asked["h1"].to_numpy()[row], "rep": nodes["rep"].to_numpy()[node],

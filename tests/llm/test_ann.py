@@ -64,3 +64,24 @@ def test_graph_links_run_both_ways_and_levels_shrink():
     assert table.shape == (800, 16) and (table[:, 0] >= 0).all()
     links = {(i, int(j)) for i, row in enumerate(table) for j in row if j >= 0}
     assert sum((j, i) in links for i, j in links) > 0.6 * len(links)
+
+
+def test_recall_beside_very_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 1e4
+    x[8] *= 1e9
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    got, want = run(spark, rows), exact(rows)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits >= 0.95 * sum(map(len, want.values()))
+
+
+def test_every_node_can_be_reached():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([c + 1e-3 * rng.normal(size=(60, 6)) for c in 10 * rng.normal(size=(20, 6))]).astype(np.float32)
+    _, graph = ann.build(np.arange(len(x)), x, 8)
+    seen = np.zeros(len(x), bool)
+    ann.reached(graph[0][1], np.array([0]), seen)
+    assert seen.all() and graph[0][1].shape[1] <= 9
