@@ -52,9 +52,12 @@ def sql_key(x: str) -> str:
 
 def bundles(spark: SparkSession, d: str, separator: str = "\n\n", column: str = "text") -> DataFrame:
     docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 100).cast("long").alias("bundle"), "doc_id", F.col("text").alias(column))
-    # a bundle is little data but much work: a number of partitions that is asked for is not coalesced by size
-    tasks = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return dedup.rebuild(docs.repartition(tasks, "bundle"), "bundle", column, "doc_id", separator)
+    return dedup.rebuild(docs.repartition(_tasks(spark), "bundle"), "bundle", column, "doc_id", separator)
+
+
+def _tasks(spark: SparkSession) -> int:
+    """A bundle is little data but much work: a number of partitions that is asked for is not coalesced by size."""
+    return 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 BUNDLES = "SELECT CAST(doc_id // 100 AS BIGINT) AS bundle, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1"
@@ -383,9 +386,10 @@ def whole_json_gate(spark, d):
 
 
 def _mixed(spark, d):
-    n = notes(spark, d).select(F.floor(F.col("o_orderkey") / 100).cast("long").alias("bundle"), F.col("o_orderkey").alias("pos"), "text")
-    n = dedup.rebuild(n, "bundle", "text", "pos", "\n\n", "notes")
-    return bundles(spark, d).join(n, "bundle").select("bundle", F.concat("text", F.lit("\n\n"), "notes").alias("text"))
+    """Bundles of documents and notes: all of either side, those without a number too."""
+    n = notes(spark, d).select(F.floor(F.col("o_orderkey") / 100).cast("long").alias("bundle"), F.struct(F.lit(1).alias("side"), F.col("o_orderkey").cast("long").alias("pos")).alias("pos"), "text")
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 100).cast("long").alias("bundle"), F.struct(F.lit(0).alias("side"), F.col("doc_id").cast("long").alias("pos")).alias("pos"), "text")
+    return dedup.rebuild(docs.union(n).repartition(_tasks(spark), "bundle"), "bundle", "text", "pos", "\n\n")
 
 
 def _level(name):
