@@ -143,6 +143,12 @@ def negation_signature(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", X.negations(F.col("text")).alias("negations"))
 
 
+@query()
+def negation_signature_all(spark, d):
+    """Every document's, whatever its language; DuckDB's case rules are not held to it."""
+    return table(spark, d, "documents").select("doc_id", X.negations(F.col("text")).alias("negations"))
+
+
 @query(f"SELECT doc_id, {sql_key('text')} AS key FROM documents")
 def normal_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", X.key(F.col("text")).alias("key"))

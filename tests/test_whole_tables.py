@@ -12,3 +12,10 @@ def test_levels_take_bundles_of_either_side(spark, tmp_path):
     assert got[0].startswith("doc one\n\nIn order to ship order 5") and got[2] == "doc far" and got[None] == "doc without id" and "order 900" in got[9]
     for name in ("safe", "balanced", "aggressive", "fallback_level"):
         assert {r.bundle for r in plans.QUERIES[f"reduce_{name}"](spark, d).collect()} == {0, 2, 9, None}
+
+
+def test_negations_in_any_language_and_none(spark, tmp_path):
+    rows = [(1, "I do not and never will", "en"), (2, "Not so", "de"), (3, "never", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.negations for r in plans.QUERIES["negation_signature_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: ["never", "not"], 2: ["not"], 3: ["never"]}
