@@ -200,6 +200,12 @@ def strip_html_comments_protected(spark, d):
     return pages.select("page_id", reduce.one_pass(reduce.kernels.drop_comments)(F.col("html")).alias("html"))
 
 
+@query()
+def strip_html_comments_protected_all(spark, d):
+    """Every page, those with code too, which the pass protects."""
+    return table(spark, d, "pages").select("page_id", reduce.one_pass(reduce.kernels.drop_comments)(F.col("html")).alias("html"))
+
+
 def _phrases_sql(x: str) -> str:
     for phrase, short in K.longest_first():
         raised = short[:1].upper() + short[1:]

@@ -19,3 +19,10 @@ def test_negations_in_any_language_and_none(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.negations for r in plans.QUERIES["negation_signature_all"](spark, str(tmp_path)).collect()}
     assert got == {1: ["never", "not"], 2: ["not"], 3: ["never"]}
+
+
+def test_comments_in_code_stay(spark, tmp_path):
+    rows = [(1, "a<!-- x -->b"), (2, "`<!-- kept -->` and <!-- gone -->end"), (3, "```\n<!-- kept -->\n```\n<!-- gone -->end")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.html for r in plans.QUERIES["strip_html_comments_protected_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "ab", 2: "`<!-- kept -->` and end", 3: "```\n<!-- kept -->\n```\nend"}
