@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import constants as K
 from ..functions import text as X
@@ -92,9 +93,9 @@ def corpus_means(rows: DataFrame) -> DataFrame:
         FROM _corpus_rows GROUP BY GROUPING SETS ((category, level), (category))""")
 
 
-def diagnostics(df: DataFrame, keep: list[str], before: str = "text", after: str = "reduced", key: str = "id", examples: int = 3) -> DataFrame:
-    """How a level changes texts: counts, mean change in characters, the first changed rows and those that lost a
-    value. Examples are the smallest few of each partition merged, never all rows of a group."""
+def diagnostics(df: DataFrame, keep: list[str], before: str = "text", after: str = "reduced", key: str = "id") -> DataFrame:
+    """How a level changes texts: counts, mean change in characters and the first changed row; ``examples`` has the
+    rows themselves."""
     d = df.withColumn("_lost", X.lost_values(F.col(before), F.col(after))).withColumn("_changed", ~F.col(before).eqNullSafe(F.col(after)))
     pct = F.when(F.length(before) > 0, (F.length(before) - F.length(after)) / F.length(before) * 100.0).otherwise(0.0)
     return d.groupBy(*keep).agg(
@@ -103,3 +104,13 @@ def diagnostics(df: DataFrame, keep: list[str], before: str = "text", after: str
         F.count_if(F.length(before) > K.CONDENSE_CHARS).alias("n_exceeds_tier2_threshold"),
         F.avg(pct).alias("mean_char_delta_pct"),
         F.min(F.when(F.col("_changed"), F.col(key))).alias("first_changed"))
+
+
+def examples(df: DataFrame, keep: list[str], before: str = "text", after: str = "reduced", key: str = "id", first: int = 3) -> DataFrame:
+    """The ``first`` changed rows of each group (kind changed) and all rows that lost a value (kind violation, lost)."""
+    d = df.withColumn("lost", X.lost_values(F.col(before), F.col(after)))
+    out = [*keep, F.col(key).alias("key"), F.col(before).alias("before"), F.col(after).alias("after"), "lost"]
+    w = W.partitionBy(*keep).orderBy(key)
+    changed = d.where(~F.col(before).eqNullSafe(F.col(after))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= first)
+    return (changed.select(F.lit("changed").alias("kind"), *out)
+            .union(d.where(F.size("lost") > 0).select(F.lit("violation").alias("kind"), *out)))

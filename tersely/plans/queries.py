@@ -628,6 +628,11 @@ def reduction_diagnostics(spark, d):
     return out.withColumn("mean_char_delta_pct", F.round("mean_char_delta_pct", 6))
 
 
+@query()
+def reduction_examples(spark, d):
+    return measure.examples(_diag(spark, d), ["o_orderstatus"], key="o_orderkey")
+
+
 @query(f"SELECT o_orderkey, CAST(len({_LOST}) AS INTEGER) AS n_lost, list_sort({_LOST}) AS lost FROM ({_DIAG})")
 def numeric_fidelity_loss(spark, d):
     lost = F.array_sort(F.array_except(X.value_set(F.col("text")), X.value_set(F.col("reduced"))))

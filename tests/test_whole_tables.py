@@ -26,3 +26,12 @@ def test_comments_in_code_stay(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.html for r in plans.QUERIES["strip_html_comments_protected_all"](spark, str(tmp_path)).collect()}
     assert got == {1: "ab", 2: "`<!-- kept -->` and end", 3: "```\n<!-- kept -->\n```\nend"}
+
+
+def test_examples_of_changes_and_of_lost_values(spark):
+    from tersely.operators import measure
+
+    rows = [("g", i, f"costs {i} now", f"costs {i}" if i < 6 else "costs") for i in range(1, 9)] + [("h", 1, "same", "same")]
+    got = measure.examples(spark.createDataFrame(rows, "grp string, id long, text string, reduced string"), ["grp"]).collect()
+    assert sorted((r.kind, r.grp, r.key) for r in got) == [("changed", "g", i) for i in (1, 2, 3)] + [("violation", "g", i) for i in (6, 7, 8)]
+    assert {r.key: [float(x) for x in r.lost] for r in got if r.kind == "violation"} == {i: [float(i)] for i in (6, 7, 8)}
