@@ -5,25 +5,34 @@ entity alone decide, so a mention is replaced alike in every document (coreferen
 digits (cards, phones, social security and IP numbers) go through a keyed Feistel network over their digits, a
 bijection on numbers of one format: distinct numbers stay distinct, separators, the country code and a card's
 first digit and checksum validity stay. Letters of e-mail addresses, secrets and account numbers are replaced
-by letters of the same script and case from a keyed stream; names by names of the same gender and script. A name
-is found by its title; in that text it, and its family name, are then replaced without the title as well.
+by letters of the same script and case from a keyed stream. Given and family names are replaced one by one, a
+given name by one of its gender and script, so that a person's family name is the same with and without the
+given one. A name is found by its title; in that text it, and its family name, are then replaced without the
+title as well.
 
-Collision check: all distinct entities of the corpus are listed with their replacements; where two share one,
-all but the smallest get a keyed tag of their own, and the list is checked again.
+Collision check: all distinct addresses, secrets, accounts, given and family names of the corpus are listed. Where
+several draw one replacement the smallest keeps it; the others draw again from a space that grows with the
+attempt (another family name with a syllable more, a double given name, an address with a letter more), and what
+they draw is checked against all that is taken, until no two share one. Only attempts are brought back to texts.
 
 Edge cases: null text stays null with no entities; empty text, ties, repeated rows and empty tables pass
-through; extra columns of the input are kept by ``replace_documents``.
+through; a text of megabytes is one row like any other, patterns have no unbounded backtracking; extra columns of
+the input are kept whatever their names, but for ``pii``, which is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 from .common import cut
 
-KEY = "surrogate-key-1"
+#: Where the secret key is set; without it a public key is taken, whose replacements anyone can make.
+KEY_SETTING = "spark.tersely.surrogates.key"
+PUBLIC_KEY = "surrogate-key-1"
 HEX = "0123456789abcdef"
 
 # Given names by gender, titles by gender.
@@ -46,14 +55,14 @@ ABROAD = f"\\+[0-9]{{1,3}}[ .-]?{AREA}(?:[.-]{GROUP}|{SPACED})(?:(?:{SPACED}){{1
 # The kinds, in the order in which they are tried at a place in the text.
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 KINDS = [
-    ("email", "(?<![\\p{L}0-9._%+-])[\\p{L}0-9._%+-]{1,64}@(?:[\\p{L}0-9-]{1,63}\\.){1,8}[\\p{L}]{2,24}(?![\\p{L}0-9-])"),
+    ("email", "(?<![\\p{L}0-9._%+-])[\\p{L}0-9._%+-]++@(?:[\\p{L}0-9-]{1,63}\\.){1,126}[\\p{L}]{2,63}(?![\\p{L}0-9-])"),
     ("ip", f"(?<![0-9.])(?:{OCTET}\\.){{3}}{OCTET}(?![0-9]|\\.[0-9])"),
     ("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", f"(?<![\\p{{L}}0-9+])(?:{NORTH_AMERICA}|{ABROAD})"
               "|(?<![\\p{L}0-9(])\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![\\p{L}0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"),
     ("card", "(?<![\\p{L}0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![\\p{L}0-9])"),
     ("account", "(?<![\\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\\p{L}0-9])"),
-    ("secret", "(?<![\\p{L}0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64})(?![\\p{L}0-9])"),
+    ("secret", "(?<![\\p{L}0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,}+)(?![\\p{L}0-9])"),
     ("name", f"(?<![\\p{{L}}])(?:{FEMALE_TITLES}|{MALE_TITLES})\\.? \\p{{Lu}}\\p{{Ll}}{{1,24}}(?: \\p{{Lu}}\\p{{Ll}}{{1,24}})?(?![\\p{{L}}])"),
 ]
 #: No entity begins inside a word; that test comes first, as it rules out most places in a text.
@@ -119,6 +128,14 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
+def key_of(key: str | None) -> str:
+    """The key given, or the session's."""
+    if key is not None:
+        return key
+    spark = SparkSession.getActiveSession()
+    return PUBLIC_KEY if spark is None else spark.conf.get(KEY_SETTING, PUBLIC_KEY)
+
+
 def keyed(key: str | Column, *parts: Column, digits: int = 15) -> Column:
     """A number of ``digits`` hexadecimal digits from the key and the parts; parts are never null here."""
     tag = F.sha2(F.concat_ws("\x1f", F.lit(key) if isinstance(key, str) else key, *[p.cast("string") for p in parts]).cast("binary"), 256)
@@ -215,56 +232,64 @@ def stream(text: Column, seed: Column, key: str, hexadecimal: Column) -> Column:
         F.substring(text, i, F.lit(1)), lambda c: let(keyed(key, seed, i, digits=8), lambda draw: swap(c, draw)))), "")
 
 
-def letter_surrogate(entity: Column, kind: Column, key: str) -> Column:
+def letter_surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
     """Parts that stay and parts that are replaced. Of an address, the local part depends on the whole of it, the
-    host on the domain alone, and the top level stays; of a secret or an account, a known beginning stays."""
+    host on the domain alone, and the top level stays; of a secret or an account, a known beginning stays. Later
+    attempts draw otherwise, and an address gets a letter more each time."""
     def part(text: Column, seed: Column | None = None) -> Column:
         return F.struct(text.alias("text"), (F.lit("") if seed is None else seed).alias("seed"), F.lit(seed is None).alias("stays"))
 
+    again = F.when(attempt > 0, F.concat(F.lit("/"), attempt.cast("string"))).otherwise(F.lit(""))
     domain = F.substring_index(entity, "@", -1)
     top = F.substring_index(domain, ".", -1)
-    address = F.array(part(F.substring_index(entity, "@", 1), F.lower(entity)), part(F.lit("@")),
+    local = F.concat(F.substring_index(entity, "@", 1), F.repeat(F.lit("x"), attempt))
+    address = F.array(part(local, F.concat(F.lower(entity), again)), part(F.lit("@")),
                       part(F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1), F.lower(domain)), part(F.concat(F.lit("."), top)))
     begins = F.when(kind == "account", 2).otherwise(F.length(F.regexp_extract(entity, "^(?:AKIA|gh[pousr]_|sk-)", 0)))
-    other = F.array(part(F.substring(entity, F.lit(1), begins)), part(F.substring(entity, begins + 1, F.length(entity)), entity))
+    other = F.array(part(F.substring(entity, F.lit(1), begins)), part(F.substring(entity, begins + 1, F.length(entity)), F.concat(entity, again)))
     hexadecimal = (kind == "secret") & entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
     parts = F.when(kind == "email", address).otherwise(other)
     return let(hexadecimal, lambda hexa: F.array_join(F.transform(parts, lambda p: F.when(
         p["stays"] | (p["text"] == ""), p["text"]).otherwise(stream(p["text"], p["seed"], key, hexa))), ""))
 
 
-def pick(pool: list[str], n: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in pool]), (F.pmod(n, F.lit(len(pool))) + 1).cast("int"))
+def drawn(pool: list[str], h: Column, at: Column) -> Column:
+    """The ``at``-th draw from a pool of 8 or 16, three or four bits of ``h`` each."""
+    bits = len(pool).bit_length() - 1
+    word = F.call_function("shiftright", h, (at * bits).cast("int")).bitwiseAND(F.lit(len(pool) - 1))
+    return F.element_at(F.array(*[F.lit(x) for x in pool]), (word + 1).cast("int"))
 
 
-def name_surrogate(entity: Column, key: str) -> Column:
-    """The title stays; a given name of its gender and script, a family name of keyed syllables."""
-    title = F.regexp_extract(entity, f"^(?:{FEMALE_TITLES}|{MALE_TITLES})\\.? ", 0)
-    names = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
-    female = title.rlike(f"^(?:{FEMALE_TITLES})(?:\\.| )")
-    cyrillic = entity.rlike("[А-я] ?[А-я]+$")
-    family_of = F.element_at(names, -1)
-    h = keyed(key, F.lit("family"), family_of)
+def is_cyrillic(name: Column) -> Column:
+    return name.rlike("^[А-яЁё]")
 
-    def family(pool: list[str]) -> Column:
-        k = len(pool)
-        return F.initcap(F.concat(*[pick(pool, F.floor(h / (k**j)).cast("long")) for j in range(4)]))
 
-    g = keyed(key, F.lit("given"), F.element_at(names, 1))
-    given = F.when(cyrillic, F.when(female, pick(CYRILLIC_FEMALE, g)).otherwise(pick(CYRILLIC_MALE, g))).otherwise(
-        F.when(female, pick(FEMALE, g)).otherwise(pick(MALE, g)))
-    last = F.when(cyrillic, family(CYRILLIC_SYLLABLES)).otherwise(family(SYLLABLES))
-    return F.concat(title, F.when(F.size(names) > 1, F.concat(given, F.lit(" "))).otherwise(F.lit("")), last)
+def family_surrogate(name: Column, key: str, attempt: Column) -> Column:
+    """Four keyed syllables of the name's script, one more with each attempt."""
+    def of(pool: list[str], h: Column) -> Column:
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt + 3, F.lit(14))), lambda j: drawn(pool, h, j)), ""))
 
+    return let(keyed(key, F.lit("family"), name, attempt), lambda h: F.when(is_cyrillic(name), of(CYRILLIC_SYLLABLES, h)).otherwise(of(SYLLABLES, h)))
 
-def surrogate(entity: Column, key: str = KEY) -> Column:
-    """The entity's replacement. Values that several places need are bound once, as a lambda's variable."""
-    def by_kind(e: Column, kind: Column) -> Column:
-        return (F.when(kind.isin("email", "account", "secret"), letter_surrogate(e, kind, key))
-                .when(kind.isin("ssn", "phone", "card"), number_surrogate(e, kind, key))
-                .when(kind == "ip", ip_surrogate(e, key)).otherwise(name_surrogate(e, key)))
 
-    return let(entity, lambda e: let(kind_of(e), lambda kind: by_kind(e, kind)))
+def given_surrogate(name: Column, female: Column, key: str, attempt: Column) -> Column:
+    """A given name of the gender and script; a double one at the second attempt, and so on."""
+    def of(pool: list[str], h: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.least(attempt, F.lit(14))), lambda j: drawn(pool, h, j)), "-")
+
+    return let(keyed(key, F.lit("given"), name, attempt), lambda h: F.when(
+        is_cyrillic(name), F.when(female, of(CYRILLIC_FEMALE, h)).otherwise(of(CYRILLIC_MALE, h))).otherwise(
+        F.when(female, of(FEMALE, h)).otherwise(of(MALE, h))))
+
+
+# --- who is replaced: a kind and a value, alike for mentions that are one ------------------------------------
+
+APART = "\x1f"
+FAMILY, GIVEN_FEMALE, GIVEN_MALE = "family", "given-f", "given-m"
+
+
+def who(kind: Column | str, value: Column) -> Column:
+    return F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit(APART), value)
 
 
 def canonical(entity: Column) -> Column:
@@ -272,55 +297,120 @@ def canonical(entity: Column) -> Column:
     return F.when(entity.contains("@"), F.lower(entity)).otherwise(entity)
 
 
-def collisions(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """(entity, replacement) for the entities whose plain replacement another entity has as well.
+def name_parts(entity: Column) -> Column:
+    """(title, given, family, female) of a titled name; ``given`` is null without one."""
+    def of(title: Column) -> Column:
+        rest = F.substring(entity, F.length(title) + 1, F.length(entity))
+        return F.struct(title.alias("title"), F.when(rest.contains(" "), F.substring_index(rest, " ", 1)).alias("given"),
+                        F.substring_index(rest, " ", -1).alias("family"), title.rlike(f"^(?:{FEMALE_TITLES})(?:\\.| )").alias("female"))
 
-    The texts are read once; the list holds each distinct entity once, and is grouped by replacement; only the
-    smallest entity of a group keeps it. A tagged replacement carries 60 keyed bits.
-    """
-    found = docs.select(F.explode(F.array_distinct(mentions(F.col(text)))).alias("entity")).distinct()
-    listed = cut(found.select("entity", canonical(F.col("entity")).alias("who"), surrogate(F.col("entity"), key).alias("plain")))
-    shared = listed.groupBy(F.lower("plain").alias("to")).agg(F.min("who").alias("keeps"), F.max("who").alias("_most")).where("keeps != _most").drop("_most")
-    lost = listed.join(shared, F.lower("plain") == F.col("to")).where("who != keeps")
-    tag = F.lower(F.hex(keyed(key, F.lit("tag"), F.col("who"))))
-    tagged = (F.when(F.col("entity").contains("@"), F.concat(F.substring_index("plain", "@", 1), F.lit("."), tag, F.lit("@"), F.substring_index("plain", "@", -1)))
-              .otherwise(F.concat("plain", F.lit("-"), tag)))
-    return lost.select("entity", tagged.alias("replacement"))
+    return let(F.regexp_extract(entity, TITLE, 0), of)
+
+
+def given_kind(female: Column) -> Column:
+    return F.when(female, GIVEN_FEMALE).otherwise(GIVEN_MALE)
+
+
+def who_in(found: Column) -> Column:
+    """Whom the mentions of a text name, of the kinds whose replacements could meet."""
+    def of_name(e: Column) -> Column:
+        return let(name_parts(e), lambda n: F.array_compact(F.array(who(FAMILY, n["family"]), F.when(n["given"].isNotNull(), who(given_kind(n["female"]), n["given"])))))
 
+    def of(e: Column, kind: Column) -> Column:
+        return F.when(kind == "name", of_name(e)).when(kind.isin("email", "account", "secret"), F.array(who(kind, canonical(e)))).otherwise(F.array().cast("array<string>"))
 
-def replace_documents(docs: DataFrame, key: str = KEY, text: str = "text", check: bool = True) -> DataFrame:
+    return F.array_distinct(F.flatten(F.transform(found, lambda e: let(kind_of(e), lambda kind: of(e, kind)))))
+
+
+def drawn_for(one: Column, key: str, attempt: int) -> Column:
+    """What ``one`` (a ``who``) draws at an attempt, in the form in which two replacements are the same."""
+    kind, value, n = F.substring_index(one, APART, 1), F.substring_index(one, APART, -1), F.lit(attempt)
+    to = (F.when(kind == FAMILY, family_surrogate(value, key, n)).when(kind == GIVEN_FEMALE, given_surrogate(value, F.lit(True), key, n))
+          .when(kind == GIVEN_MALE, given_surrogate(value, F.lit(False), key, n)).otherwise(letter_surrogate(value, kind, key, n)))
+    return who(kind, F.lower(to))
+
+
+def surrogate(entity: Column, key: str | None = None, attempt_of: Callable[[Column], Column] = lambda one: F.lit(0)) -> Column:
+    """The entity's replacement; ``attempt_of`` says how often a ``who`` must draw again. Values that several places
+    need are bound once, as a lambda's variable."""
+    key = key_of(key)
+
+    def name(n: Column) -> Column:
+        family = let(attempt_of(who(FAMILY, n["family"])), lambda a: family_surrogate(n["family"], key, a))
+        given = let(attempt_of(who(given_kind(n["female"]), n["given"])), lambda a: given_surrogate(n["given"], n["female"], key, a))
+        return F.concat(n["title"], F.when(n["given"].isNotNull(), F.concat(given, F.lit(" "))).otherwise(F.lit("")), family)
+
+    def by_kind(e: Column, kind: Column) -> Column:
+        letters = let(attempt_of(who(kind, canonical(e))), lambda a: letter_surrogate(e, kind, key, a))
+        return (F.when(kind.isin("email", "account", "secret"), letters).when(kind.isin("ssn", "phone", "card"), number_surrogate(e, kind, key))
+                .when(kind == "ip", ip_surrogate(e, key)).otherwise(let(name_parts(e), name)))
+
+    return let(entity, lambda e: let(kind_of(e), lambda kind: by_kind(e, kind)))
+
+
+def collisions(docs: DataFrame, key: str | None = None, text: str = "text", most_rounds: int = 100) -> DataFrame:
+    """(who, attempt) of all that cannot keep their first draw, which another has as well.
+
+    The texts are read once; the list holds each ``who`` once. A round lets those that are still open draw, and
+    the smallest of each replacement has it unless it is taken; it ends when none is open.
+    """
+    key = key_of(key)
+    open_ = cut(docs.select(F.explode(who_in(mentions(F.col(text)))).alias("who")).distinct())
+    taken = moved = None
+    for attempt in range(most_rounds):
+        draws = open_.select("who", drawn_for(F.col("who"), key, attempt).alias("to"))
+        won = draws.groupBy("to").agg(F.min("who").alias("who"))
+        if taken is not None:
+            won = won.join(taken, "to", "left_anti")
+        won = cut(won)
+        taken = won.select("to") if taken is None else taken.union(won.select("to"))
+        have = won.select("who", F.lit(attempt).alias("attempt"))
+        moved = have.limit(0) if moved is None else moved.union(have)
+        open_ = cut(open_.join(won.select("who"), "who", "left_anti"))
+        if open_.isEmpty():
+            return moved
+    raise RuntimeError("replacements did not become distinct")
+
+
+def replace_documents(docs: DataFrame, key: str | None = None, text: str = "text", check: bool = True) -> DataFrame:
     """``docs`` with ``text`` replaced and ``pii``: the kind, place in the original and length of each mention.
 
-    Without collisions this is one pass over the rows with no shuffle. With some, the mentions that need another
-    replacement are joined by entity and brought back to their documents; the list is never on the driver.
+    Without collisions this is one pass over the rows with no shuffle. With some, the attempts of those who draw
+    again are joined by who it is and brought back to their texts; the list is never on the driver.
     """
-    tagged = cut(collisions(docs, key, text)) if check else None
-    rows = docs.withColumn("_m", mentions(F.col(text)))
-    if tagged is not None and not tagged.isEmpty():
-        ids = rows.withColumn("_id", F.xxhash64(text)).where(F.size("_m") > 0)
-        wanted = ids.select("_id", F.explode(F.array_distinct("_m")).alias("entity")).distinct()
-        other = (wanted.join(tagged, "entity").groupBy(F.col("_id").alias("_t"))
-                 .agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_other")))
-        rows = rows.withColumn("_id", F.xxhash64(text)).join(other, F.col("_id") == F.col("_t"), "left").drop("_t", "_id")
-        def new(e: Column) -> Column:
-            return F.coalesce(F.try_element_at(F.col("_other"), e), surrogate(e, key))
+    key = key_of(key)
+    moved = cut(collisions(docs, key, text)) if check else None
+    rows = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), docs[text].alias("body"))
+    rows = rows.withColumn("found", mentions(F.col("body")))
+    if moved is not None and not moved.isEmpty():
+        rows = rows.withColumn("id", F.when(F.size("found") > 0, F.xxhash64("body")))
+        wanted = rows.where("id is not null").select("id", F.explode(who_in(F.col("found"))).alias("who")).distinct()
+        attempts = (wanted.join(moved, "who").groupBy(F.col("id").alias("of"))
+                    .agg(F.map_from_entries(F.collect_list(F.struct("who", "attempt"))).alias("attempts")))
+        rows = rows.join(attempts, F.col("id") == F.col("of"), "left")
+
+        def attempt_of(one: Column) -> Column:
+            return F.coalesce(F.try_element_at(F.col("attempts"), one), F.lit(0))
     else:
-        def new(e: Column) -> Column:
-            return surrogate(e, key)
+        def attempt_of(one: Column) -> Column:
+            return F.lit(0)
+
+    def new(e: Column) -> Column:
+        return surrogate(e, key, attempt_of)
+
     # only a text with a name is searched again, for mentions of it without the title
-    rows = rows.withColumn("_n", titled(F.col("_m"))).withColumn("_p", F.when(F.size("_n") > 0, pattern_with(F.col("_n"))))
-    rows = rows.withColumn("_m", F.when(F.col("_p").isNotNull(), F.regexp_extract_all(F.col(text), F.col("_p"), F.lit(0))).otherwise(F.col("_m")))
-    rows = rows.withColumn("_to", F.transform("_n", new))
-    to = F.transform("_m", lambda e: F.when((F.size("_n") > 0) & untitled(e), as_titled(e, F.col("_n"), F.col("_to"))).otherwise(new(e)))
-    rows = rows.withColumn("_parts", F.when(F.col("_p").isNotNull(), F.split(F.col(text), F.col("_p"), -1))
-                           .when(F.size("_m") > 0, F.split(F.col(text), PATTERN, -1)))
-    filled = F.array_join(F.zip_with("_parts", F.concat(to, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    rows = rows.withColumn("names", titled(F.col("found"))).withColumn("again", F.when(F.size("names") > 0, pattern_with(F.col("names"))))
+    rows = rows.withColumn("found", F.when(F.col("again").isNotNull(), F.regexp_extract_all(F.col("body"), F.col("again"), F.lit(0))).otherwise(F.col("found")))
+    rows = rows.withColumn("renamed", F.transform("names", new))
+    to = F.transform("found", lambda e: F.when((F.size("names") > 0) & untitled(e), as_titled(e, F.col("names"), F.col("renamed"))).otherwise(new(e)))
+    rows = rows.withColumn("gaps", F.when(F.col("again").isNotNull(), F.split(F.col("body"), F.col("again"), -1))
+                           .when(F.size("found") > 0, F.split(F.col("body"), PATTERN, -1)))
+    filled = F.array_join(F.zip_with("gaps", F.concat(to, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     placed = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    ahead = F.transform("_m", lambda e, i: F.struct(F.length(F.element_at("_parts", i + 1)).alias("gap"), F.length(e).alias("own")))
+    ahead = F.transform("found", lambda e, i: F.struct(F.length(F.element_at("gaps", i + 1)).alias("gap"), F.length(e).alias("own")))
     starts = F.aggregate(ahead, placed, lambda s, x: F.struct((s["at"] + x["gap"] + x["own"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["gap"])).alias("starts")), lambda s: s["starts"])
-    spans = F.when(F.size("_m") > 0, let(starts, lambda at: F.transform("_m", lambda e, i: F.struct(
-        F.when((F.size("_n") > 0) & untitled(e), "name").otherwise(kind_of(e)).alias("kind"), F.element_at(at, i + 1).alias("start"), F.length(e).cast("long").alias("length")))))
-    rows = rows.withColumn("_new", F.when(F.size("_m") > 0, filled).otherwise(F.col(text)))
-    rows = rows.withColumn("pii", F.coalesce(spans, F.array().cast("array<struct<kind:string,start:bigint,length:bigint>>")))
-    keep = [c for c in docs.columns if c not in (text, "pii")]
-    return rows.select(*keep, F.col("_new").alias(text), "pii")
+    spans = F.when(F.size("found") > 0, let(starts, lambda at: F.transform("found", lambda e, i: F.struct(
+        F.when((F.size("names") > 0) & untitled(e), "name").otherwise(kind_of(e)).alias("kind"), F.element_at(at, i + 1).alias("start"), F.length(e).cast("long").alias("length")))))
+    pii = F.coalesce(spans, F.array().cast("array<struct<kind:string,start:bigint,length:bigint>>"))
+    kept = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in (text, "pii")]
+    return rows.select(*kept, F.when(F.size("found") > 0, filled).otherwise(F.col("body")).alias(text), pii.alias("pii"))
