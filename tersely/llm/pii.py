@@ -228,8 +228,9 @@ def stream(text: Column, seed: Column, key: str, hexadecimal: Column) -> Column:
         digit = F.substring(F.lit(HEX), (F.pmod(draw, F.lit(16)) + 1).cast("int"), F.lit(1))
         return F.when(hexadecimal, F.when(c.rlike("[A-F]"), F.upper(digit)).otherwise(digit)).otherwise(out)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: let(
-        F.substring(text, i, F.lit(1)), lambda c: let(keyed(key, seed, i, digits=8), lambda draw: swap(c, draw)))), "")
+    # the seed's digest, as a seed may be as long as the text
+    return let(F.sha2(seed.cast("binary"), 256), lambda own: F.array_join(F.transform(F.split(text, ""), lambda c, i: let(
+        keyed(key, own, i + 1, digits=8), lambda draw: swap(c, draw))), ""))
 
 
 def letter_surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
@@ -411,6 +412,7 @@ def replace_documents(docs: DataFrame, key: str | None = None, text: str = "text
     starts = F.aggregate(ahead, placed, lambda s, x: F.struct((s["at"] + x["gap"] + x["own"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["gap"])).alias("starts")), lambda s: s["starts"])
     spans = F.when(F.size("found") > 0, let(starts, lambda at: F.transform("found", lambda e, i: F.struct(
         F.when((F.size("names") > 0) & untitled(e), "name").otherwise(kind_of(e)).alias("kind"), F.element_at(at, i + 1).alias("start"), F.length(e).cast("long").alias("length")))))
-    pii = F.coalesce(spans, F.array().cast("array<struct<kind:string,start:bigint,length:bigint>>"))
+    rows = rows.withColumn("filled", F.when(F.size("found") > 0, filled).otherwise(F.col("body")))
+    rows = rows.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<kind:string,start:bigint,length:bigint>>")))
     kept = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in (text, "pii")]
-    return rows.select(*kept, F.when(F.size("found") > 0, filled).otherwise(F.col("body")).alias(text), pii.alias("pii"))
+    return rows.select("row", "filled", "spans").select(*kept, F.col("filled").alias(text), F.col("spans").alias("pii"))

@@ -65,7 +65,7 @@ CLASSES = ["[0-9]", "[a-z]", "[A-Z]", "[à-öø-ÿ]", "[а-я]", "[А-Я]"]
 
 
 def stream(text, seed, hexa=False):
-    out = []
+    out, seed = [], hashlib.sha256(seed.encode()).hexdigest()
     for i, c in enumerate(text, 1):
         h = keyed(seed, i, digits=8)
         if hexa:
