@@ -63,6 +63,14 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or one made from it that no column has, whatever its letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Words of the contracts as an array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
