@@ -80,18 +80,16 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def gapless(df: DataFrame, keys: list[str], salt: Column, salts: int, order: list, out: str,
-            counted: DataFrame | None = None) -> DataFrame:
+def gapless(df: DataFrame, keys: list[str], salt: Column, salts: int, order: list, out: str) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... within ``keys`` without sorting a whole key in one task.
 
     Each key is dealt to ``salts`` sub-groups; a row's number is its place in the sub-group plus the
-    rows of the sub-groups before it. ``counted`` may be a narrower frame with the same rows, from
-    which the sub-groups are counted. The offsets have at most (number of keys) x ``salts`` rows.
+    rows of the sub-groups before it. The offsets have at most (number of keys) x ``salts`` rows. The salt may be a
+    row's place if ``df`` is a checkpoint, which has the same rows in the same places each time it is read.
     """
     df = df.withColumn("_sub", F.pmod(salt, F.lit(salts)).cast("int"))
-    counted = df if counted is None else counted.withColumn("_sub", F.pmod(salt, F.lit(salts)).cast("int"))
     before = W.partitionBy(*keys).orderBy("_sub").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counted.groupBy(*keys, "_sub").count().select(
+    offsets = df.groupBy(*keys, "_sub").count().select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_sub").alias("_s"),
         F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     own = F.row_number().over(W.partitionBy(*keys, "_sub").orderBy(*order)) - 1

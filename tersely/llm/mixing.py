@@ -11,8 +11,13 @@ V / (n + k/2) and V / (n - k/2) for k parties and n seats, so at most 3k quotien
 Selection: the documents of a (source, shard) cell stand in seeded order; a quota of q blocks takes the
 whole line as often as it fits and then the line's first blocks.
 
-Edge cases: null text has no words and is never taken; an empty table gives an empty result; repeated rows
-are taken one by one; a source without words has target 0.
+The sources themselves are few: their targets and quotas are windows over one row for each source (and 16 cells
+of it), in one task, which millions of sources would make slow.
+
+Edge cases: null text has no words and is never taken; an empty table gives an empty result; ties in a line go by
+id, then text; repeated rows are taken one by one; a source without words has target 0; a very long text is only
+counted, and cut between words; extra columns are left out of ``mix`` and kept by ``mix_documents``, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -66,20 +71,25 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share=(3, 2), repeats: int = 2, shards: int = 16, block: int = 8,
-        seed: str = "mix-1", payload: list[Column] | None = None) -> DataFrame:
+        seed: str = "mix-1", payload: list[Column] | None = None, rows_a_group: int = 1 << 20) -> DataFrame:
     """How many words of each document the mix takes, up to ``repeats`` times its size.
 
     The text is read once, for its words; everything after works on (id, source, size, order) rows. Places in
-    a cell come from sub-groups by leading digits of the order's hash, so a hot source is never sorted whole.
+    a cell come from sub-groups by leading digits of the order's hash, as many digits as keep a sub-group at about
+    ``rows_a_group`` rows even if one cell has all, so a hot source is never sorted whole; the places do not depend
+    on the number of digits.
     """
     if shards not in (1, 16):
         raise ValueError("shards come from one hexadecimal digit: 1 or 16")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     shard = F.instr(F.lit(HEX), F.lit("0")) if shards == 1 else F.instr(F.lit(HEX), F.substring(order, 1, 1))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("_h"),
-                       shard.cast("int").alias("_shard"), F.substring(order, 2, 2).alias("_sub"),
-                       F.xxhash64(F.col("text")).alias("_tie"), *(payload or []))
+                       shard.cast("int").alias("_shard"), F.xxhash64(F.col("text")).alias("_tie"), *(payload or []))
     rows = cut(rows)
+    digits, groups = 2, 256
+    while groups * rows_a_group < rows.count():
+        digits, groups = digits + 1, groups * 16
+    rows = rows.withColumn("_sub", F.substring("_h", 2, digits))
     subs = rows.groupBy("source", "_shard", "_sub").agg(F.sum("size").alias("_words"))
     cells = subs.groupBy("source", "_shard").agg(F.sum("_words").alias("_cell"))
     sources = targets(cells.groupBy("source").agg(F.sum("_cell").alias("source_size")), weights, share, repeats)
@@ -116,22 +126,21 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     tie = F.xxhash64("text")
     narrow = mix(docs, payload=[tie.alias("_t")], **options).where("taken > 0")
-    narrow = (narrow.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_t")
-              .agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count("*").alias("_rows")))
+    narrow = (narrow.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("_t").alias("tie"))
+              .agg(F.sum("taken").alias("taken"), F.first("size").alias("size"), F.count("*").alias("rows")))
     narrow = cut(narrow)
-    rows = docs.withColumn("_tie", tie)
-    if narrow.where("_rows > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id", "source", "_tie"])
-    on = rows["doc_id"].eqNullSafe(narrow["_d"]) & rows["source"].eqNullSafe(narrow["_s"]) & (rows["_tie"] == narrow["_t"])
-    rows = rows.join(narrow, on)
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
-    copies = F.sequence(F.lit(1), (whole + F.when(rest > 0, 1).otherwise(0)).cast("int"))
-    rows = rows.withColumn("_copy", F.explode(copies))
-    text = F.when(F.col("_copy") <= whole, F.col("text")).otherwise(first_words(F.col("text"), rest))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"),
+                       docs["doc_id"].alias("id"), docs["source"].alias("src"), docs["text"].alias("body"), tie.alias("tie"))
+    if narrow.where("rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["id", "src", "tie"])
+    rows, narrow = rows.alias("r"), narrow.alias("n")
+    on = F.col("r.id").eqNullSafe(F.col("n.id")) & F.col("r.src").eqNullSafe(F.col("n.src")) & (F.col("r.tie") == F.col("n.tie"))
+    rows = rows.join(narrow, on).select("row", "body", F.floor(F.col("taken") / F.col("size")).alias("whole"), (F.col("taken") % F.col("size")).alias("rest"))
+    copies = F.sequence(F.lit(1), (F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0)).cast("int"))
+    rows = rows.withColumn("copy", F.explode(copies))
+    rows = rows.select("row", F.when(F.col("copy") <= F.col("whole"), F.col("body")).otherwise(first_words(F.col("body"), F.col("rest"))).alias("body"))
+    new = {"text": F.col("body"), "n_chars": F.length("body").cast("long")}
+    return rows.select(*[new.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -3,12 +3,14 @@
 Tokenising is Arrow-batched; packing needs only how many pieces there are of each length, at most ``capacity``
 counts however large the corpus. The planner builds one bin at a time from those counts: fill greedily with the
 largest length that fits, then replace the bin's smallest piece by the two unpacked ones that fill its expanded
-gap most tightly, as long as that gains. The same bin is repeated while the counts allow it, since the choice
-would be the same; every pattern uses up a length, so there are at most ``capacity`` patterns. A piece finds its
-place by its length and its rank among pieces of that length, which sub-groups make without a global sort.
-
-Edge cases: null or empty text is one piece, the end token; repeated rows are packed one by one; an empty table
-gives an empty result; extra columns of the input are left out.
+gap most tightly, as long as that gains. The same bin is repeated as often as the counts allow it, since the choice
+would be the same; a pattern leaves at least one of its lengths too few for a further bin of its kind, so planning
+takes a few thousand steps, whatever the number of pieces. A piece finds its place by its length and its rank among
+pieces of that length, which sub-groups make without a global sort; their number follows the counts.
+
+Edge cases: null or empty text is one piece, the end token; a text of any length is tokenised whole; ties between
+pieces of one length go by place; repeated rows are packed one by one; an empty table gives an empty result; extra
+columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -27,16 +29,18 @@ ship(__name__)
 TOKENIZER = "byte_bpe_50k.json"
 
 
-def coder(name: str):
+def coder(name: str, literal: bool = True):
     """A function from a text to its ids, made once in each worker.
 
-    The ids are those of the ``tokenizers`` file. Texts of Latin-1 characters go through the same vocabulary as
-    ranks, whose word pattern treats these characters alike and which is about four times as fast; all others
-    go through ``tokenizers`` itself, and so does a text whose runs of white space (some 700,000 characters) are
-    too long for the fast coder's stack. tests/llm holds the two against each other.
+    The ids are those of the ``tokenizers`` file. A special token's name in a text is ordinary text if ``literal``;
+    otherwise it is that token's id, as the file's tokenizer has it when it is loaded. Texts of Latin-1 characters
+    go through the same vocabulary as ranks, whose word pattern treats these characters alike and which is about
+    four times as fast; all others go through ``tokenizers`` itself, and so does a text whose runs of white space
+    (some 700,000 characters) are too long for the fast coder's stack, and one with a special token's name that is
+    not literal. tests/llm holds the two against each other.
     """
     coders = worker_cache().setdefault("coders", {})
-    if name not in coders:
+    if (name, literal) not in coders:
         import base64
         import os
 
@@ -47,7 +51,8 @@ def coder(name: str):
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(public.path(name))
-        exact.encode_special_tokens = True
+        exact.encode_special_tokens = literal
+        special = [] if literal else [t.content for t in exact.get_added_tokens_decoder().values()]
         with open(public.path(name.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -55,6 +60,8 @@ def coder(name: str):
         def encode(text: str) -> list[int]:
             try:
                 text.encode("latin-1")
+                if any(t in text for t in special):
+                    return exact.encode(text, add_special_tokens=False).ids
             except UnicodeEncodeError:
                 return exact.encode(text, add_special_tokens=False).ids
             try:
@@ -64,8 +71,8 @@ def coder(name: str):
                     raise
                 return exact.encode(text, add_special_tokens=False).ids
 
-        coders[name] = encode
-    return coders[name]
+        coders[name, literal] = encode
+    return coders[name, literal]
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -76,13 +83,13 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *[(s, capacity) for s in range(head, n, capacity)]]
 
 
-def tokenize(docs: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, end: int = 0, with_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER, end: int = 0, with_ids: bool = False, literal: bool = False) -> DataFrame:
     """Every document's pieces: doc_id, piece, start, length, ids_crc32 (and ids, if asked for)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches):
-        encode = coder(tokenizer)
+        encode = coder(tokenizer, literal)
         for batch in batches:
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             out = {k: [] for k in names}
@@ -168,13 +175,15 @@ def slots(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
     return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(names)}
 
 
-def place(pieces: DataFrame, capacity: int = 2048, salts: int = 64) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, ..., length)."""
+def place(pieces: DataFrame, capacity: int = 2048, rows_a_group: int = 1 << 20) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, ..., length), which are a checkpoint: their places in it
+    deal the pieces of a length to groups of about ``rows_a_group``, so many equal rows are many groups too."""
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["count"]
     table = slots(counts, capacity)
-    ranked = gapless(pieces, ["length"], F.xxhash64("doc_id", "piece"), salts, ["doc_id", "piece"], "_rank")
+    salts = max(64, -(-int(counts.max()) // rows_a_group))
+    ranked = gapless(pieces, ["length"], F.xxhash64(F.monotonically_increasing_id()), salts, ["doc_id", "piece"], "_rank")
     names = [c for c in pieces.columns]
     at = names.index("length")
     span = int(counts.max()) + 1

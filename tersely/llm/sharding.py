@@ -1,8 +1,8 @@
 """Jump consistent hashing (operator 6), DataFrame expressions only.
 
 Nulls and edge cases: a null key is hashed like any other value (one stable shard); null text counts
-as no bytes; repeated rows each get a slot; an empty table gives an empty result; extra columns of the
-input are left out of the result, so clashing names do no harm.
+as no bytes, a very long one is only measured; ties and repeated rows each get a slot; an empty table gives an
+empty result; extra columns of the input are left out of the result, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless
+from .common import cut, gapless
 
 
 def next_bucket(key: Column, bucket: Column) -> Column:
@@ -39,22 +39,22 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16,
-                    salts: int = 256) -> DataFrame:
+                    rows_a_group: int = 1 << 20) -> DataFrame:
     """Every row's shard, its slot there (gapless from 0) and its shard once one more is appended.
 
-    Only the key, the size and the checksum are shuffled, never the text. Slots are dealt in ``salts``
-    sub-groups a shard, so no task sorts a whole shard.
+    Only the key, the size and the checksum are kept, in a checkpoint, never the text, which is read once. Slots
+    are dealt in sub-groups of a shard by the rows' places in that checkpoint, about ``rows_a_group`` in each even
+    if one shard has all rows, so no task sorts a whole shard, and many rows of one key are many sub-groups.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
+    rows = cut(docs.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_shard(F.col(key), shards).alias("shard"))
-    counted = docs.select(F.col(key).alias("doc_id"), jump_shard(F.col(key), shards).alias("shard"))
-    slotted = gapless(rows, ["shard"], F.xxhash64(F.col("doc_id"), F.lit("slot")), salts,
-                      ["doc_id", "text_crc32", "size"], "slot", counted)
+        jump_shard(F.col(key), shards).alias("shard")))
+    salts = max(256, -(-rows.count() // rows_a_group))
+    slotted = gapless(rows, ["shard"], F.xxhash64(F.monotonically_increasing_id()), salts, ["doc_id", "text_crc32", "size"], "slot")
     to = next_bucket(F.col("doc_id"), F.col("shard").cast("long"))
     grown = F.when(to < F.lit(shards + 1), to).otherwise(F.col("shard")).cast("int")
     return slotted.select("doc_id", "size", "text_crc32", "law", "shard", "slot", grown.alias("grown_shard"))
