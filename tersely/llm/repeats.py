@@ -258,9 +258,10 @@ def width_of(threshold: int) -> int:
 
 
 def bytes_at(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """Rows of ``width`` bytes: ``size`` bytes of ``data`` from ``start`` on, then zeros."""
-    at = start[:, None] + np.arange(width)
-    return np.where(np.arange(width) < size[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+    """Rows of ``width`` bytes: ``size`` bytes of ``data`` from ``start`` on, then zeros; ``data`` ends in ``width`` more."""
+    body = np.lib.stride_tricks.sliding_window_view(data, width)[start]
+    body *= np.arange(width) < size[:, None]
+    return body
 
 
 def packed(records: Records, buckets: int, to: np.ndarray, threshold: int, done_row: np.ndarray, done_point: np.ndarray):
@@ -306,7 +307,8 @@ class Packer:
             self.parts, self.texts, self.base = [], [], 0
             return
         key, second, doc, row, point_, off, first = map(np.concatenate, zip(*self.parts))
-        data, width = np.concatenate(self.texts), width_of(self.threshold)
+        width = width_of(self.threshold)
+        data = np.concatenate([*self.texts, np.zeros(width, np.uint8)])
         self.parts, self.held, self.texts, self.base = [], 0, [], 0
         size = (point_ >> 2 & 31) + self.threshold
         # equal runs: those that meet by both keys, then by their bytes
@@ -477,15 +479,18 @@ def removed(n: int, spans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def with_rows(docs: DataFrame) -> tuple[DataFrame, int]:
-    """((doc, row, doc_id, text), bytes of all texts): ids without null, and a number for each row, which is the id if no
-    two rows share one; otherwise the rows are numbered in a checkpoint."""
+    """((doc_id, row, text), bytes of all texts): a number for each row, which is the id if no two rows share one and none is
+    null; otherwise the rows are numbered in a checkpoint."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     sizes = d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     most, total = sizes.agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n"))), F.sum("bytes")).first()
-    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
     if (most or 0) < 2:
-        return d.select(doc, doc.alias("row"), "doc_id", "text"), total or 0
-    return cut(d.select(doc, F.monotonically_increasing_id().alias("row"), "doc_id", "text")), total
+        return d.select("doc_id", F.col("doc_id").alias("row"), "text"), total or 0
+    return cut(d.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")), total
+
+
+def order_of(ids: pa.Array) -> np.ndarray:
+    return ids.fill_null(NO_ID).to_numpy()
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 50, records_a_bucket: int = 400_000, crowd: int = 64, keep_text: bool = False,
@@ -504,7 +509,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, records_a_bucket: int =
     def first_pass(batches):
         packer = Packer(partitions, threshold, 1 << 20, crowd)
         for batch in batches:
-            ids, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, row = order_of(batch.column(0)), batch.column(1).to_numpy()
             for which, place, length, gram, whole, off, data, first in runs_of(batch.column(2), threshold):
                 yield from packer.add(gram, whole, ids[which], row[which], point(place, length, DONE), off, data, first)
         yield from packer.flush()
@@ -515,17 +520,17 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, records_a_bucket: int =
             if rows := [r for r in rows if r["n"]]:
                 yield from open_runs(rows, threshold, width)
 
-    found = d.select("doc", "row", "text").mapInArrow(first_pass, ROW)
+    found = d.mapInArrow(first_pass, ROW)
     found = dealt(found, buckets, partitions, threshold).mapInArrow(second_pass, "row long, point long")
     found = found.groupBy("row").agg(F.collect_list("point").alias("points"))
     found = found.checkpoint(eager=True)
     release(spark)  # the shuffle files of the first passes are the largest
-    joined = d.join(found.hint("shuffle_hash"), "row", "left").select("doc", "row", "text", "points", "doc_id")
+    joined = d.join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "points")
 
     def third_pass(batches):
         packer = Packer(partitions, threshold, 1 << 18)
         for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, rows = order_of(batch.column(0)), batch.column(1).to_numpy()
             at = batch.column(3).offsets.to_numpy()
             own = batch.column(3).values.to_numpy()[at[0] : at[-1]]
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
@@ -558,10 +563,10 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, records_a_bucket: int =
             if rows := [r for r in rows if r["n"]]:
                 yield from settle(rows, threshold, width)
 
-    rims = joined.where("points is not null").select("doc", "row", "text", "points").mapInArrow(third_pass, ROW)
+    rims = joined.where("points is not null").mapInArrow(third_pass, ROW)
     rims = dealt(rims, buckets, partitions, threshold, 1 << 18).mapInArrow(last_pass, "row long, point long")
     rims = rims.groupBy("row").agg(F.collect_list("point").alias("rims"))
-    both = joined.join(rims.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "points", "rims")
+    both = joined.join(rims.hint("shuffle_hash"), "row", "left").select("doc_id", "row", "text", "points", "rims")
 
     def spans_at(column: pa.Array):
         """A batch's settled runs: row by row (from, to)."""
@@ -576,8 +581,8 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, records_a_bucket: int =
     def finish(batches):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
         for batch in batches:
-            data, starts, ends = texts(batch.column(1))
-            groups = [spans_at(batch.column(i)) for i in (2, 3)]
+            data, starts, ends = texts(batch.column(2))
+            groups = [spans_at(batch.column(i)) for i in (3, 4)]
             out = []
             for i, (doc, a, b) in enumerate(zip(batch.column(0).to_pylist(), starts.tolist(), ends.tolist())):
                 body = data[a:b]
