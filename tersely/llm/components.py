@@ -47,3 +47,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select("u", F.col("v").alias("label"))
+
+
+def named(nodes: DataFrame, label: DataFrame, key: str, broadcast_rows: int = 500_000, salts: int = 16) -> DataFrame:
+    """``nodes`` (``key``, least) with label and component_id, the smallest ``least`` of the component.
+
+    Smallest ids are combined before they are shuffled. Only components of several nodes are met again, by their
+    label: as a broadcast if they are few, otherwise spread over ``salts`` places each, as one may hold a third of
+    all nodes.
+    """
+    inside = nodes.join(label.withColumnRenamed("u", key), key, "left").withColumn("label", F.coalesce("label", key))
+    several = cut(inside.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    if several.count() <= broadcast_rows:
+        met = inside.join(F.broadcast(several), "label", "left")
+    else:
+        inside = inside.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+        several = several.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = inside.join(several, ["label", "_salt"], "left").drop("_salt")
+    # a component of several nodes has its id; null where all its ids are null
+    alone = F.col("label") == F.col(key)
+    return met.withColumn("component_id", F.when(alone, F.coalesce("component_id", "least")).otherwise(F.col("component_id")))

@@ -15,8 +15,9 @@ Equal fingerprints are one row before any replication. An anchor gives a spannin
 pairs. An anchor with many homes becomes a grid of cells, each with a part of the homes and of the rows near it.
 
 Edge cases: null and empty texts have the zero fingerprint and link like any other; documents with fewer words
-than a shingle have one shingle; a null id never names a component unless all its ids are null; repeated rows
-stay; an empty table gives an empty result.
+than a shingle have one shingle, and a text of any length is hashed whole; a bit that is set in just half the hashes
+is 0; a null id never names a component unless all its ids are null; repeated rows stay; extra columns are left out
+(``one_of_each`` keeps them, whatever their names); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import cut, ship
-from .components import components
+from .components import components, named
 
 ship(__name__)
 
@@ -233,22 +233,21 @@ def text_hash() -> Column:
 
 
 def first_of(docs: DataFrame, groups: DataFrame, tie: Column, by: str = "component_id") -> DataFrame:
-    """The first row of each of the ``groups`` (doc_id, tie, ``by``)."""
-    w = W.partitionBy(by).orderBy(F.col("doc_id").asc_nulls_last(), "tie")
-    kept = cut(groups.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")))
-    rows = docs.withColumn("_tie", tie)
-    out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_d"]) & (rows["_tie"] == kept["_t"]), "left_semi")
+    """The first row of each of the ``groups`` (doc_id, tie, ``by``), found by minima that are combined before they are
+    shuffled, and met again by id and text hash."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tie").alias("tie"))).alias("first")
+    kept = cut(groups.groupBy(by).agg(least).select("first.id", "first.tie")).alias("kept")
+    rows = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), docs["doc_id"].alias("id"), tie.alias("tie")).alias("rows")
+    out = rows.join(kept, F.col("rows.id").eqNullSafe(F.col("kept.id")) & (F.col("rows.tie") == F.col("kept.tie")), "left_semi")
     again = groups.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates(["doc_id", "_tie"]) if again else out).drop("_tie")
+    out = out.dropDuplicates(["id", "tie"]) if again else out
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, blocks: int | None = None, tie: Column | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document, and ``tie``, if one is given."""
     prints = cut(fingerprints(docs, shingle, tie=tie))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    label = components(links(distinct, threshold, blocks))
-    nodes = distinct.join(label.withColumnRenamed("u", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = nodes.join(least, "label").select("fp", "component_id")
+    of = named(distinct, components(links(distinct, threshold, blocks)), "fp").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
                                           *([] if tie is None else ["tie"]))
