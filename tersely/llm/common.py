@@ -52,6 +52,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(*frames: DataFrame | None) -> None:
+    """Remove the files of checkpoints that nothing reads any more: what was made of them is itself written. Files that
+    are not below the checkpoint folder, or cannot be found, are left alone."""
+    for df in frames:
+        if df is None:
+            continue
+        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.sc()
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        path = plan.rdd().getCheckpointFile()
+        if path.isDefined() and path.get().startswith(str(jsc.getCheckpointDir().get())):
+            place = jvm.org.apache.hadoop.fs.Path(path.get())
+            place.getFileSystem(jsc.hadoopConfiguration()).delete(place, True)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of ours by the file system that it is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of plans that are done with: Spark removes their shuffle files once the driver has collected them.
 

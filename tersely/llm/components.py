@@ -10,24 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
-def _large(e: DataFrame) -> DataFrame:
-    """Every node's larger neighbours go to its smallest one. A node that is the smallest moves nothing."""
+def _large(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node's larger neighbours go to its smallest one. A node that is the smallest moves nothing. Returns the links
+    and the checkpoint they are made of."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     moved = cut(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u"))
     up = both.where("v > u").join(moved, "u", "left")
-    return up.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).where("u != v").distinct()
+    return up.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).where("u != v").distinct(), moved
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every node and its smaller neighbours go to the smallest of these. A node with one of them stays."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     moved = cut(down.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")).where("m != most").drop("most"))
     linked = down.join(moved, "u", "left")
     own = F.col("m").isNull() | (F.col("v") == F.col("m"))
-    return linked.select(F.when(own, F.col("u")).otherwise(F.col("v")).alias("u"), F.coalesce("m", "v").alias("v")).where("u != v").distinct()
+    return linked.select(F.when(own, F.col("u")).otherwise(F.col("v")).alias("u"), F.coalesce("m", "v").alias("v")).where("u != v").distinct(), moved
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -39,7 +40,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = cut(edges.select("u", "v").where("u != v"))
     seen = None
     for _ in range(most_rounds):
-        now = cut(_small(_large(now)))
+        larger, first = _large(now)
+        smaller, second = _small(larger)
+        before, now = now, cut(smaller)
+        discard(before, first, second)  # the new links are written
         state = mark(now)
         if state == seen:
             break

@@ -17,7 +17,7 @@ they draw is checked against all that is taken, until no two share one. Only att
 
 Edge cases: null text stays null with no entities; empty text, ties, repeated rows and empty tables pass
 through; a text of megabytes is one row like any other, patterns have no unbounded backtracking; extra columns of
-the input are kept whatever their names, but for ``pii``, which is replaced.
+the input are kept whatever their names, but for one named like the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -373,8 +373,9 @@ def collisions(docs: DataFrame, key: str | None = None, text: str = "text", most
     raise RuntimeError("replacements did not become distinct")
 
 
-def replace_documents(docs: DataFrame, key: str | None = None, text: str = "text", check: bool = True) -> DataFrame:
-    """``docs`` with ``text`` replaced and ``pii``: the kind, place in the original and length of each mention.
+def replace_documents(docs: DataFrame, key: str | None = None, text: str = "text", check: bool = True, out: str | None = "pii") -> DataFrame:
+    """``docs`` with ``text`` replaced and ``out``, unless it is None: the kind, place in the original and length of each
+    mention.
 
     Without collisions this is one pass over the rows with no shuffle. With some, the attempts of those who draw
     again are joined by who it is and brought back to their texts; the list is never on the driver.
@@ -414,5 +415,5 @@ def replace_documents(docs: DataFrame, key: str | None = None, text: str = "text
         F.when((F.size("names") > 0) & untitled(e), "name").otherwise(kind_of(e)).alias("kind"), F.element_at(at, i + 1).alias("start"), F.length(e).cast("long").alias("length")))))
     rows = rows.withColumn("filled", F.when(F.size("found") > 0, filled).otherwise(F.col("body")))
     rows = rows.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<kind:string,start:bigint,length:bigint>>")))
-    kept = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in (text, "pii")]
-    return rows.select("row", "filled", "spans").select(*kept, F.col("filled").alias(text), F.col("spans").alias("pii"))
+    kept = [F.col("filled").alias(c) if c == text else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c != out]
+    return rows.select("row", "filled", "spans").select(*kept, *([F.col("spans").alias(out)] if out else []))
