@@ -119,3 +119,16 @@ def gapless(df: DataFrame, keys: list[str], salt: Column, salts: int, order: lis
     on = [ranked[k].eqNullSafe(offsets[f"_k{i}"]) for i, k in enumerate(keys)] + [ranked["_sub"] == offsets["_s"]]
     return (ranked.join(offsets, on).withColumn(out, (F.col("_own") + F.col("_before")).cast("long"))
             .drop("_sub", "_own", "_s", "_before", *[f"_k{i}" for i in range(len(keys))]))
+
+
+def meet(rows: DataFrame, one: DataFrame, key: str, total: int, least: int = 256) -> DataFrame:
+    """``rows`` with the row of ``one`` that has their key; ``one`` has each key once, with the number ``n`` of its rows.
+
+    Both are checkpoints. A key with many rows is dealt to several places, by the rows' places in the checkpoint, and its
+    row of ``one`` is copied to each. Such keys are at most 100,000, whatever ``total``, so their list is a broadcast.
+    """
+    limit = max(least, total // 100_000)
+    crowded = F.broadcast(one.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).alias("_salts")))
+    rows = rows.join(crowded, key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    one = one.drop("n").join(crowded, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return rows.join(one, [key, "_salt"]).drop("_salt")

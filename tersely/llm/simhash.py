@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, meet, ship
 from .components import components, named
 
 ship(__name__)
@@ -247,7 +247,7 @@ def first_of(docs: DataFrame, groups: DataFrame, tie: Column, by: str = "compone
 def near_duplicates(docs: DataFrame, threshold: int = 4, shingle: int = 4, blocks: int | None = None, tie: Column | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document, and ``tie``, if one is given."""
     prints = cut(fingerprints(docs, shingle, tie=tie))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    of = named(distinct, components(links(distinct, threshold, blocks)), "fp").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    of = cut(named(distinct, components(links(distinct, threshold, blocks)), "fp").select("fp", "component_id", "n"))
+    return meet(prints, of, "fp", prints.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
                                           *([] if tie is None else ["tie"]))

@@ -106,3 +106,12 @@ def test_one_of_each_on_ties_and_null_ids(spark):
     got = simhash.one_of_each(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == [(4, "x y z")] and len(got) == 2
     assert simhash.one_of_each(frame(spark, corpus(3)).limit(0)).count() == 0
+
+
+def test_rows_of_one_key_are_spread(spark):
+    from tersely.llm import common
+
+    rows = common.cut(spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 7L else id end as k"))
+    one = common.cut(rows.groupBy("k").count().selectExpr("k", "count as n", "k * 10 as value"))
+    got = {(r.id, r.value) for r in common.meet(rows, one, "k", 1000, least=20).collect()}
+    assert got == {(i, 70 if i % 3 == 0 else i * 10) for i in range(1000)}
