@@ -102,18 +102,22 @@ def drop_comments(text: Column) -> Column:
 
 
 def shorten_phrases(text: Column, pairs=K.PHRASES) -> Column:
-    """For text without code or quoted lines; a match that begins upper-case keeps that. A fold over the rules, so
-    that a rule whose phrase a text has not costs a substring search and no pattern."""
-    def rule(phrase: str, short: str) -> Column:
+    """For text without code or quoted lines; a match that begins upper-case keeps that. Patterns are literals, which are
+    compiled once a task, and a rule whose phrase a text has not costs a substring search; each step's text is bound
+    once."""
+    def rule(phrase: str, short: str):
         rest = f"(?i:{phrase[1:]})\\b"
-        return F.struct(F.lit(phrase.lower()).alias("plain"), F.lit(f"(?U)\\b{phrase[0].upper()}{rest}").alias("raised"),
-                        F.lit(short[:1].upper() + short[1:]).alias("capital"), F.lit(f"(?U)\\b{phrase[0]}{rest}").alias("low"), F.lit(short).alias("short"))
+        raised, low = f"(?U)\\b{phrase[0].upper()}{rest}", f"(?U)\\b{phrase[0]}{rest}"
 
-    def apply(t: Column, r: Column) -> Column:
-        changed = F.regexp_replace(F.regexp_replace(t, r["raised"], r["capital"]), r["low"], r["short"])
-        return F.when(F.contains(F.lower(t), r["plain"]), changed).otherwise(t)
+        def apply(t: Column) -> Column:
+            changed = F.regexp_replace(F.regexp_replace(t, raised, short[:1].upper() + short[1:]), low, short)
+            return F.when(F.contains(F.lower(t), F.lit(phrase.lower())), changed).otherwise(t)
 
-    done = F.aggregate(F.array(*[rule(a, b) for a, b in K.longest_first(pairs)]), text, apply)
+        return apply
+
+    done = text
+    for a, b in K.longest_first(pairs):
+        done = let(done, rule(a, b))
     return F.regexp_replace(F.regexp_replace(done, "[ \\t]{2,}", " "), f"{SPACE}+([.,;:!?])", "$1")
 
 

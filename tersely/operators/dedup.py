@@ -40,14 +40,23 @@ def drop_repeated_paragraphs(df: DataFrame, doc: str = "doc_id", text: str = "te
 
 
 def drop_repeated_sentences(df: DataFrame, doc: str = "doc_id", text: str = "text", shortest: int = K.MIN_SENTENCE) -> DataFrame:
-    """(doc, text): sentences that came before anywhere in the document out, paragraphs rebuilt."""
-    p = df.select(doc, F.posexplode(X.paragraphs(F.col(text))).alias("p", "par"))
-    s = p.select(doc, "p", F.posexplode(X.sentences(F.col("par"))).alias("s", "sent")).withColumn("k", X.key(F.col("sent")))
-    kept = first_occurrences(s, doc, "k", ["p", "s"], shortest)
+    """(doc, text): sentences that came before anywhere in the document out, paragraphs rebuilt. A document is a row of
+    its id and text, so rows without an id, or of one id with different texts, are documents of their own."""
+    own = [F.col(doc).alias("_doc"), F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")).alias("_own")]
+    docs = df.select(doc, text, *own)
+    p = docs.select("_doc", "_own", text).distinct().select("_doc", "_own", F.posexplode(X.paragraphs(F.col(text))).alias("p", "par"))
+    s = p.select("_doc", "_own", "p", F.posexplode(X.sentences(F.col("par"))).alias("s", "sent")).withColumn("k", X.key(F.col("sent")))
+    short = F.length("k") < shortest
+    alone = [F.when(short, F.col(c)) for c in ("p", "s")]
+    w = W.partitionBy("_doc", "_own", F.when(short, F.lit("")).otherwise(F.col("k")), *alone).orderBy("p", "s")
+    kept = s.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     items = F.array_sort(F.collect_list(F.struct("s", "sent")))
-    pars = kept.groupBy(doc, "p").agg(X.strip(F.array_join(F.transform(items, lambda x: x["sent"]), " ")).alias("par")).where("par != ''")
-    out = rebuild(pars, doc, "par", "p", "\n\n")
-    return df.select(doc).join(out, doc, "left").select(doc, F.coalesce("text", F.lit("")).alias("text"))
+    pars = kept.groupBy("_doc", "_own", "p").agg(X.strip(F.array_join(F.transform(items, lambda x: x["sent"]), " ")).alias("par")).where("par != ''")
+    whole = F.array_sort(F.collect_list(F.struct("p", "par")))
+    out = pars.groupBy("_doc", "_own").agg(F.array_join(F.transform(whole, lambda x: x["par"]), "\n\n").alias("_new")).alias("o")
+    docs = docs.select("_doc", "_own").alias("d")
+    met = docs.join(out, F.col("d._doc").eqNullSafe(F.col("o._doc")) & (F.col("d._own") == F.col("o._own")), "left")
+    return met.select(F.col("d._doc").alias(doc), F.coalesce("_new", F.lit("")).alias("text"))
 
 
 def drop_repeated_items(df: DataFrame, doc: str, text: str) -> DataFrame:
@@ -62,8 +71,14 @@ def drop_repeated_items(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def drop_repeated_documents(df: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """Extension: one row for each text of the whole corpus, by key; only (digest, order) is ranked, and a digest
-    that many rows share is pre-aggregated to its smallest before the shuffle."""
-    digest = F.sha2(X.key(F.col(text)).cast("binary"), 256)
-    least = df.select(digest.alias("_d"), order).groupBy("_d").agg(F.min(order).alias("_o"))
-    return df.join(least.select(F.col("_o").alias(order)), order, "left_semi")
+    """Extension: one row for each text of the whole corpus, by key: that with the smallest ``order``, nulls last. Only
+    (digest, order) is aggregated, a digest that many rows share before the shuffle; texts then meet their digest and
+    order. Rows that repeat both are one; null text counts as empty; all columns are kept."""
+    columns = [F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), df[order].alias("at"),
+               F.sha2(X.key(F.coalesce(df[text], F.lit(""))).cast("binary"), 256).alias("digest")]
+    rows = df.select(*columns)
+    least = rows.groupBy("digest").agg(F.min(F.struct(F.col("at").isNull().alias("none"), "at")).alias("first"), F.count("*").alias("n"))
+    least = least.select("digest", F.col("first.at").alias("at")).alias("l")
+    rows = rows.alias("r")
+    kept = rows.join(least, (F.col("r.digest") == F.col("l.digest")) & F.col("r.at").eqNullSafe(F.col("l.at")), "left_semi")
+    return kept.dropDuplicates(["digest"]).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(df.columns)])

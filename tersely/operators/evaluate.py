@@ -32,15 +32,16 @@ def sample_by_hash(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFra
 
 
 def sample_by_shuffle(records: DataFrame, n: int, seed: int, question: str = "question") -> DataFrame:
-    """The sample of a Mersenne shuffle of the row numbers 0, 1, ... in column ``id``, without questions that are
-    JSON. The order is made on the driver, so this is for benchmark files, not corpora."""
+    """The sample of a Mersenne shuffle of the row numbers 0, 1, ... in the order of column ``id``, without questions that
+    are JSON. The order is made on the driver, so this is for benchmark files, not corpora."""
     total = records.count()
     order = list(range(total))
     random.Random(seed).shuffle(order)
-    places = records.sparkSession.createDataFrame([(i, p) for p, i in enumerate(order)], "id long, _place long")
+    places = records.sparkSession.createDataFrame([(i, p) for p, i in enumerate(order)], "_row long, _place long")
     is_json = F.pandas_udf("boolean")(_json_batch)(F.col(question))
-    good = records.join(places, "id").where(~is_json)
-    return good.orderBy("_place").limit(n).drop("_place").orderBy("id")
+    numbered = records.withColumn("_row", (F.row_number().over(W.orderBy("id", question)) - 1).cast("long"))
+    good = numbered.join(places, "_row").where(~is_json)
+    return good.orderBy("_place").limit(n).drop("_place", "_row").orderBy("id")
 
 
 def _json_batch(texts: pd.Series) -> pd.Series:
@@ -58,9 +59,10 @@ def condition_table(spark: SparkSession, **options) -> DataFrame:
     return spark.createDataFrame(list(enumerate(conditions(**options))), "ord int, condition string")
 
 
-def run_conditions(items: DataFrame, names: list[str], solver: Callable[[str], str] | None, retries: int = 3) -> DataFrame:
-    """(id, question, answer) x conditions through ``solver`` in the tasks; an item that fails is a row with its
-    error. Without a solver there are no rows: the run is skipped."""
+def run_conditions(items: DataFrame, names: list[str], solver: Callable[[str], str] | None, retries: int = 3, wait: float = 0.01) -> DataFrame:
+    """(id, question, answer) x conditions through ``solver`` in the tasks; an item that fails is tried again after
+    min(2^k, 8) times ``wait`` seconds (1.0 for a remote solver), and then is a row with its error. Without a solver
+    there are no rows: the run is skipped."""
     spark = items.sparkSession
     if solver is None:
         return spark.createDataFrame([], RESULT)
@@ -82,7 +84,7 @@ def run_conditions(items: DataFrame, names: list[str], solver: Callable[[str], s
                     except Exception as e:
                         error = f"{type(e).__name__}: {e}"
                         if attempt < retries:
-                            time.sleep(min(2**attempt, 8) * 0.01)
+                            time.sleep(min(2**attempt, 8) * wait)
                 words = len(question.split())
                 rows.append((r.id, r.condition, r.gold, reply, error, len(question), round(words * K.WORD_FACTOR), time.monotonic() - began))
             yield pd.DataFrame(rows, columns=["id", "condition", "gold", "raw_response", "error", "input_chars", "input_tokens", "latency_s"])
@@ -141,21 +143,19 @@ def mcnemar_p(b: Column, c: Column) -> Column:
 
 
 def least_detectable(psi: float, n: int, alpha: float = 0.05, power: float = 0.8) -> float | None:
-    """The smallest paired difference that ``n`` pairs can find: the need falls as the difference grows."""
+    """The smallest paired difference that ``n`` pairs can find.
+
+    n d^2 = (a s + b sqrt(s^2 - d^2))^2 with s the root of psi; with t = d / s that is sqrt(n) t - a = b sqrt(1 - t^2),
+    a quadratic in t whose larger root is wanted.
+    """
     if not psi or psi <= 0 or not n or n <= 0:
         return None
-    za, zb = normal_quantile(1 - alpha / 2), normal_quantile(power)
-
-    def enough(d: float) -> bool:
-        return d * d < psi and -(-((za * psi**0.5 + zb * (psi - d * d) ** 0.5) ** 2) // (d * d)) <= n
-
-    low, high = 1e-6, psi**0.5 * (1 - 1e-9)
-    if not enough(high):
+    a, b = normal_quantile(1 - alpha / 2), normal_quantile(power)
+    rest = b * b * (n + b * b - a * a)
+    if rest < 0:
         return None
-    for _ in range(100):
-        middle = (low + high) / 2
-        low, high = (low, middle) if enough(middle) else (middle, high)
-    return high
+    t = (a * n**0.5 + math.copysign(rest**0.5, b)) / (n + b * b)
+    return psi**0.5 * t if 0 < t < 1 else None
 
 
 def least_detectable_column(psi: Column, n: Column) -> Column:
@@ -175,11 +175,12 @@ def summarize(results: DataFrame) -> DataFrame:
     return g.withColumn("accuracy", F.col("correct") / F.col("n")).withColumn("wilson_ci_95", wilson(F.col("correct"), F.col("n")))
 
 
-def compare(results: DataFrame, baseline: str = "baseline") -> DataFrame:
+def compare(results: DataFrame, baseline: str = "baseline", order: str | None = None) -> DataFrame:
     """Each other condition paired with the baseline by item: an equi-join, then one aggregation. Of a baseline
-    item that is repeated the last counts; pairs with an error on either side are left out and counted."""
+    item that is repeated the last by ``order`` counts (without one, as rows have no order, the slowest); pairs with an
+    error on either side are left out and counted."""
     base = results.where(F.col("condition") == baseline)
-    last = W.partitionBy("id").orderBy(F.col("latency_s").desc_nulls_last(), F.col("correct").desc())
+    last = W.partitionBy("id").orderBy(F.col(order or "latency_s").desc_nulls_last(), F.col("correct").desc())
     base = base.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("id", F.col("correct").alias("b_ok"), F.col("error").isNotNull().alias("b_err"))
     both = results.where(F.col("condition") != baseline).join(base, "id")
     bad = F.col("b_err") | F.col("error").isNotNull()

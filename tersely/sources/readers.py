@@ -2,6 +2,8 @@
 
 import hashlib
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,11 @@ def parse_questions(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(X.strip(F.col(column)) != "").select(parsed.alias("r")).select("r.question", "r.answer")
 
 
+def missing(error: AnalysisException) -> bool:
+    """Whether a read failed because there is no such file."""
+    return "PATH_NOT_FOUND" in (error.getCondition() or str(error))
+
+
 def read_verified(spark: SparkSession, path: str, sha256: str, rows: int | None = None) -> tuple[DataFrame, str]:
     """A question file whose digest and number of rows must be as expected; without the file, the built-in sample.
 
@@ -56,7 +63,9 @@ def read_verified(spark: SparkSession, path: str, sha256: str, rows: int | None
     """
     try:
         found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).collect()
-    except Exception:
+    except AnalysisException as e:
+        if not missing(e):
+            raise
         return builtin_questions(spark), "bundled_fallback"
     if [r["d"] for r in found] != [sha256]:
         raise DatasetIntegrityError(f"{path} has another digest than {sha256}")
@@ -97,7 +106,9 @@ def read_fillers(spark: SparkSession, path: str, start: str, end: str) -> tuple[
     """Filler phrases in file order; the built-in ones, if there are none. A word list is small by nature."""
     try:
         found = [r["line"] for r in marked_block(spark, path, start, end).orderBy("ord").collect()]
-    except Exception:
+    except AnalysisException as e:
+        if not missing(e):
+            raise
         found = []
     return tuple(found) or K.FILLERS
 
@@ -108,7 +119,9 @@ def read_phrases(spark: SparkSession, path: str, start: str, end: str) -> tuple[
         rows = marked_block(spark, path, start, end).where(F.col("line").contains("=>"))
         pair = rows.select("ord", X.strip(F.substring_index("line", "=>", 1)).alias("a"), X.strip(F.expr("substring(line, instr(line, '=>') + 2)")).alias("b"))
         found = [(r["a"], r["b"]) for r in pair.where("a != '' AND lower(a) != lower(b)").orderBy(F.length("a").desc(), "ord").collect()]
-    except Exception:
+    except AnalysisException as e:
+        if not missing(e):
+            raise
         found = []
     return tuple(found) or tuple(K.longest_first())
 
@@ -119,10 +132,14 @@ def write_texts(df: DataFrame, path: str, column: str = "reduced") -> None:
 
 
 def write_report(df: DataFrame, path: str) -> int:
-    """Results as JSON; returns 0, or 1 where the sink fails, and never raises."""
+    """Results as JSON, a file for each task; returns 0, or 1 where the sink cannot be written. A fault of the results
+    themselves is raised."""
+    df.schema  # analysed before the sink is tried
     try:
-        df.coalesce(1).write.mode("overwrite").json(path)
-    except Exception:
+        df.write.mode("overwrite").json(path)
+    except (Py4JError, PySparkException, OSError) as e:
+        if "SparkException" in type(e).__name__ or "Job aborted due to stage failure" in str(e):
+            raise
         return 1
     return 0
 

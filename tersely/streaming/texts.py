@@ -15,8 +15,8 @@ def reduce_stream(stream: DataFrame, column: str = "text", level: str = "balance
 
 
 def drop_repeats(stream: DataFrame, time: str, column: str = "text", delay: str = "10 minutes") -> DataFrame:
-    """The first of equal texts within the watermark; state holds a digest for each, not the text."""
-    keyed = stream.withColumn("_digest", F.xxhash64(X.key(F.col(column))))
+    """The first of equal texts within the watermark; state holds a 256-bit digest for each, not the text."""
+    keyed = stream.withColumn("_digest", F.sha2(X.key(F.col(column)).cast("binary"), 256))
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
 
