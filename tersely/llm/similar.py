@@ -1,12 +1,14 @@
 """Near-duplicates by shingle similarity: every pair of texts whose sets of five-word shingles have a Jaccard
 similarity of at least 0.8 is linked, and no other.
 
-Equal sets are one node. Two sets that similar share a shingle among the first n - ceil(0.8 n) + 1 of each in any one
-order of all shingles (prefix filter), so the nodes that meet at such a shingle are all candidates; each candidate
-pair whose first shingles agree enough for that is then verified on the whole sets. The order puts shingles last that a fixed share
-of the texts shows to be common; it decides only how many candidates there are. Where many nodes meet at one shingle, each is first compared with
-the smallest and its neighbour by size; then with the nearest by parity bits among its neighbours of other components; then all pairs
-that these links have not yet joined. Pairs whose sets' parity bits differ too much to be similar are no candidates, which loses none.
+Equal sets are one node. The nodes' SimHash fingerprints meet by op4's anchor covering: what is within five bits forms a
+cluster, which keeps large groups of near copies together. The covering promises no similarity of 0.8 (some ten bits), so what it leaves apart
+meets again exactly: two sets that similar share a shingle among the first n - ceil(0.8 n) + 1 of each in any one
+order of all shingles (prefix filter). The order puts shingles last that a fixed share of the texts shows to be common; it decides
+only how many candidates there are. Shingles with the same nodes are one meeting; nodes of different clusters at a meeting join
+them, unless sizes or parity bits (a bit for every one or two shingles) show that they cannot be similar, which loses none. Last, the
+whole sets of each cluster meet, a large cluster's in a grid of cells, and only pairs found similar there are links. No pair is ever
+a row before it is verified; clusters, meetings and links are spanning forests.
 
 Edge cases: null and empty texts have the empty set and are copies of each other; texts with fewer words than a
 shingle have one shingle, and a text of any length has its whole set; of a group the smallest id stays, null ids
@@ -28,13 +30,19 @@ from .components import components, named
 ship(__name__)
 
 PAIR = "u long, v long"
-#: A set's parity bits: each shingle turns one of 256 over, so two sets differ in no fewer shingles than bits.
-BITS = ["b0", "b1", "b2", "b3"]
+#: Bits by which fingerprints of one cluster may differ: the three blocks of op4's covering for four bits find five as well.
+THRESHOLD = 5
 
 
-def parity(items: np.ndarray) -> np.ndarray:
-    odd = (np.bincount(items & 255, minlength=256) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+def parity(items: np.ndarray, words: int = 4) -> np.ndarray:
+    """A set's parity bits: each shingle turns one of 64 ``words`` over, so two sets differ in no fewer shingles than bits."""
+    odd = (np.bincount(items & (64 * words - 1), minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def parity_words(n: int) -> int:
+    """Words of parity bits for a set of size n: a power of two, of as many bits as shingles or fewer, but 256 at least."""
+    return max(4, 1 << max(0, n.bit_length() - 7))
 
 
 def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -98,15 +106,15 @@ def prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def first_shingles(docs: DataFrame, common: np.ndarray, counts: np.ndarray, size: int = 5, tie: Column | None = None) -> DataFrame:
-    """(doc_id, tie, node, n, b0 to b3, first): the name, size and parity bits of each text's set, and its first shingles in
-    the order."""
+def first_shingles(docs: DataFrame, common: np.ndarray, counts: np.ndarray, size: int = 5) -> DataFrame:
+    """(doc_id, tie, at, node, n, fp, bits, first): a hash of the text, the name and size of its set, the set's fingerprint and
+    parity bits, and its first shingles in the order."""
     def run(batches):
         import xxhash
 
         for batch in batches:
-            node, many, first, bits = [], [], [], []
-            for text in batch.column(1):
+            node, many, fps, bits, first = [], [], [], [], []
+            for text in batch.column(3):
                 x = shingles(text.as_py(), size)
                 rank = np.zeros(len(x), np.int64)
                 if len(common):
@@ -114,119 +122,206 @@ def first_shingles(docs: DataFrame, common: np.ndarray, counts: np.ndarray, size
                     rank = np.where(common[at] == x, counts[at], 0)
                 node.append(xxhash.xxh64_intdigest(x.tobytes()))
                 many.append(len(x))
-                bits.append(parity(x))
+                fps.append(fingerprint(x))
+                bits.append(parity(x, parity_words(len(x))))
                 first.append(np.sort(x[np.lexsort((x, rank))[: prefix(len(x)) if len(x) else 0]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(many, pa.int64()),
-                                              *[pa.array([b[i] for b in bits], pa.int64()) for i in range(4)], pa.array(first, pa.list_(pa.int64()))],
-                                             ["doc_id", "tie", "node", "n", *BITS, "first"])
-
-    own = (F.lit(0) if tie is None else tie).cast("long").alias("tie")
-    return docs.select(F.col("doc_id").cast("long"), "text", own).mapInArrow(run, "doc_id long, tie long, node long, n long, b0 long, b1 long, b2 long, b3 long, first array<long>")
-
-
-def pairs_within(n: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs to compare among nodes of sizes ``n``, which rise: all, or where there are more than
-    ``few`` each with the first of a like size and with its neighbour."""
-    m = len(n)
-    if m <= few:
-        a, b = np.triu_indices(m, 1)
-    else:
-        own = np.arange(1, m)
-        least = np.searchsorted(5 * n, 4 * n[1:], "left")
-        a, b = np.concatenate([least, own - 1]), np.concatenate([own, own])
-    like = (a != b) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-    return a[like], b[like]
-
-
-def compared(pairs: DataFrame, arrays: DataFrame, fits) -> DataFrame:
-    """The pairs (u, v) that ``fits`` (size, array, size, array) lets stand; ``arrays`` (node, n, x) are those of their nodes."""
-    met = arrays.dropDuplicates(["node"])
-    both = (pairs.join(met.select(F.col("node").alias("u"), "n", "x"), "u")
-            .join(met.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("x").alias("y")), "v").select("u", "v", "n", "x", "m", "y"))
+            signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (node, fps)]
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (bits, first)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], signed[0], pa.array(many, pa.int64()), signed[1], *lists],
+                                             ["doc_id", "tie", "at", "node", "n", "fp", "bits", "first"])
 
-    def run(batches):
-        for batch in batches:
-            n, m = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-            keep = [fits(a, x.values.to_numpy(), b, y.values.to_numpy()) for a, x, b, y in zip(n, batch.column(3), m, batch.column(5))]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    return docs.select("doc_id", "tie", simhash.text_hash().alias("at"), "text").mapInArrow(
+        run, "doc_id long, tie long, at long, node long, n long, fp long, bits array<long>, first array<long>")
 
-    found = cut(both.mapInArrow(run, PAIR))
-    release(pairs.sparkSession)
-    return found
 
+def fingerprint(items: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes: their bitwise majority."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(items), simhash.CHUNK):
+        counts += np.unpackbits(items[at : at + simhash.CHUNK].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(items)).tobytes(), "big")
 
-def ends_of(pairs: DataFrame) -> DataFrame:
-    """The nodes of checkpointed pairs; as a broadcast if they are few, so that only their arrays are shuffled."""
-    ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    return F.broadcast(ends) if ends.count() <= 1_000_000 else ends
 
+def are_similar(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (n + m)
 
-def may_be_similar(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
-    """Whether what two sets share of their first shingles lets them be similar: of the one whose first shingles end
-    earlier in the order, all shared ones but those after them are among the first of both."""
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return 9 * (shared + max(n - len(x), m - len(y))) >= 4 * (n + m)
 
+def small(df: DataFrame) -> DataFrame:
+    """A checkpoint, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= 1_000_000 else df
 
-def are_similar(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
-    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (n + m)
 
+def covered(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (fp, ...) with cluster: the smallest fingerprint of those that op4's anchor covering connects with theirs."""
+    distinct = cut(nodes.select("fp").distinct())
+    label = components(simhash.links(distinct, THRESHOLD))
+    out = nodes.join(small(label.withColumnRenamed("u", "fp")), "fp", "left").withColumn("cluster", F.coalesce("label", "fp")).drop("label")
+    discard(distinct)
+    return out
 
-def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs whose sets have a similarity of 0.8 or more. Their first shingles, a fifth of a set, rule out nearly all
-    that have not; for the others the sets are made again, of one text a node, and moved."""
-    pairs = cut(pairs.distinct())
-    ends = ends_of(pairs)
-    likely = compared(pairs, firsts.select("node", "n", F.col("first").alias("x")).join(ends, "node", "left_semi"), may_be_similar)
-    ends = ends_of(likely)
-    one = firsts.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("at"))
-    one = cut(one.select(F.col("at.doc_id").alias("one_id"), F.col("at.tie").alias("one_tie")))
-    texts = docs.join(F.broadcast(one) if one.count() <= 1_000_000 else one, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("tie") == F.col("one_tie")), "left_semi")
-    items = sets_of(texts, size).select("node", F.size("items").cast("long").alias("n"), F.col("items").alias("x"))
-    found = compared(likely, items, are_similar)
-    discard(pairs, likely, one)
-    return found
 
+def runs(n: np.ndarray, cluster: np.ndarray):
+    """(from, to) of the stretches of rising sizes ``n`` in which each may be similar to the next, of several clusters."""
+    edges = np.r_[0, np.flatnonzero(4 * n[1:] > 5 * n[:-1]) + 1, len(n)].tolist()
+    for at, to in zip(edges[:-1], edges[1:]):
+        if to - at > 1 and (cluster[at:to] != cluster[at]).any():
+            yield at, to
 
-def nearest(crowded: DataFrame, tasks: int, most: int = 8, window: int = 64) -> DataFrame:
-    """(u, v): each node of (s, node, n, bits, label), at one of its shingles, with those of other labels that are nearest by
-    parity bits, among as many neighbours by size as ``window`` on either side. Links to them join what belongs together,
-    so that few pairs are left to compare."""
-    own = crowded.groupBy("node").agg(F.min("s").alias("at"))
-    marked = crowded.join(own, "node").select("s", "node", "n", "label", *BITS, (F.col("s") == F.col("at")).alias("own"))
 
+def meetings(nodes: DataFrame, tasks: int) -> DataFrame:
+    """(meeting, node): the nodes of different clusters that meet at a first shingle, once for all shingles with the same nodes."""
     def run(batches):
-        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        import xxhash
+
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
-        s, node, n, label, *bits, own = map(np.concatenate, zip(*parts))
+        s, node, n, cluster = map(np.concatenate, zip(*parts))
         order = np.lexsort((node, n, s))
-        s, node, n, label, own, bits = s[order], node[order], n[order], label[order], own[order], np.stack(bits, axis=1)[order]
-        for i in np.array_split(np.flatnonzero(own), max(1, int(own.sum()) >> 15)):
-            steps = [d for d in range(-window, window + 1) if d]
-            far = np.full((len(i), len(steps)), 1 << 14, np.int16)
-            for k, d in enumerate(steps):
-                j = np.clip(i + d, 0, len(s) - 1)
-                apart = bits_apart(bits[i], bits[j])
-                fits = (s[i] == s[j]) & (label[i] != label[j]) & (9 * apart <= n[i] + n[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-                far[fits, k] = apart[fits]
-            best = np.argsort(far, axis=1, kind="stable")[:, :most]
-            row, at = np.nonzero(np.take_along_axis(far, best, 1) < 1 << 14)
-            u, v = node[i[row]], node[i[row] + np.array(steps)[best[row, at]]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-    return marked.repartition(tasks, "s").mapInArrow(run, PAIR)
-
-
-def apart_pairs(crowded: DataFrame) -> DataFrame:
-    """(u, v): all pairs of (s, node, n, bits, label) that share a shingle, are of different labels, and may be similar."""
-    a, b = crowded.alias("a"), crowded.alias("b")
-    like = (F.col("a.s") == F.col("b.s")) & (F.col("a.label") < F.col("b.label")) & (5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n"))
-    apart = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in BITS), F.lit(0))
-    return a.join(b, like & (9 * apart <= F.col("a.n") + F.col("b.n"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-
-
-def links(firsts: DataFrame, docs: DataFrame, size: int = 5, few: int = 64, rows_a_task: int = 1 << 19) -> DataFrame:
+        s, node, n, cluster = s[order], node[order], n[order], cluster[order]
+        edges = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)]
+        several = np.flatnonzero(np.diff(edges) > 1)
+        seen: set[int] = set()
+        keys, out, held = [], [], 0
+        for at, to in zip(edges[several].tolist(), edges[several + 1].tolist()):
+            for a, b in runs(n[at:to], cluster[at:to]):
+                members = node[at + a : at + b]
+                key = xxhash.xxh64_intdigest(members.tobytes())
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(np.full(b - a, key, np.uint64))
+                    out.append(members)
+                    held += b - a
+            if held > 1 << 18:
+                yield both(keys, out)
+                keys, out, held = [], [], 0
+        if held:
+            yield both(keys, out)
+
+    def both(keys, out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(out))], ["meeting", "node"])
+
+    routed = nodes.select(F.explode("first").alias("s"), "node", "n", "cluster")
+    return routed.repartition(tasks, "s").mapInArrow(run, "meeting long, node long").distinct()
+
+
+def joined(n: np.ndarray, cluster: np.ndarray, bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between clusters of nodes of rising sizes ``n``: of each two that sizes and parity bits let be similar."""
+    ids, label = np.unique(cluster, return_inverse=True)
+    first, wide = label.copy(), np.array([len(b) for b in bits])
+    tables: dict[int, tuple[int, np.ndarray]] = {}
+    for i in range(len(n) - 1):
+        to = int(np.searchsorted(4 * n, 5 * n[i], "right"))
+        other = i + 1 + np.flatnonzero(label[i + 1 : to] != label[i])
+        if not len(other):
+            continue
+        w = int(wide[i])
+        if w not in tables:  # the nodes of as many words of bits, or of twice as many, folded
+            at, end = np.searchsorted(wide, [w, 2 * w + 1])
+            tables[w] = int(at), np.stack([b if len(b) == w else b[:w] ^ b[w:] for b in bits[at:end]])
+        at, table = tables[w]
+        for near in np.unique(label[other[near_enough(n[i], n[other], table[i - at], table[other - at])]]):
+            label[label == near] = label[i]
+    moved = np.flatnonzero(first != label)
+    return ids[first[moved]], ids[label[moved]]
+
+
+def cluster_links(nodes: DataFrame, met: DataFrame, tasks: int) -> DataFrame:
+    """(u, v): links between the clusters of nodes that meet and may be similar."""
+    def run(batches):
+        parts = [([c.to_numpy() for c in b.columns[:4]], [x.values.to_numpy() for x in b.column(4)]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        meeting, node, n, cluster = map(np.concatenate, zip(*[p for p, _ in parts]))
+        bits = [x for _, b in parts for x in b]
+        order = np.lexsort((node, n, meeting))
+        meeting, n, cluster = meeting[order], n[order], cluster[order]
+        edges = np.r_[0, np.flatnonzero(meeting[1:] != meeting[:-1]) + 1, len(order)].tolist()
+        us, vs = [], []
+        for at, to in zip(edges[:-1], edges[1:]):
+            u, v = joined(n[at:to], cluster[at:to], [bits[k] for k in order[at:to]])
+            us.append(u)
+            vs.append(v)
+        u, v = simhash.forest(np.concatenate(us).view(np.uint64), np.concatenate(vs).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+    rows = met.join(nodes.select("node", "n", "cluster", "bits"), "node").select("meeting", "node", "n", "cluster", "bits")
+    return rows.repartition(tasks, "meeting").mapInArrow(run, PAIR)
+
+
+def similar_in(node: np.ndarray, part: np.ndarray, items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect a cell's nodes with a similarity of 0.8 or more; ``part``: only between different parts, if it has two.
+    A node's whole set meets those of all others at its shingles, unless they are connected already."""
+    n = np.array([len(x) for x in items])
+    order = np.argsort(n, kind="stable")
+    node, part, n, items = node[order], part[order], n[order], [items[k] for k in order]
+    all_, owner = np.concatenate(items), np.repeat(np.arange(len(n)), n)
+    by = np.argsort(all_, kind="stable")
+    sorted_, owner = all_[by], owner[by]
+    label, two = np.arange(len(n)), (part != part[0]).any()
+    for i in range(len(n) - 1):
+        to = int(np.searchsorted(4 * n, 5 * n[i], "right"))
+        fits = label[i + 1 : to] != label[i]
+        if two:
+            fits &= part[i + 1 : to] != part[i]
+        if not fits.any():
+            continue
+        low, high = np.searchsorted(sorted_, items[i], "left"), np.searchsorted(sorted_, items[i], "right")
+        many = high - low
+        met = owner[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
+        shared = np.bincount(met, minlength=len(n))[i + 1 : to]
+        for near in np.unique(label[i + 1 : to][fits & (9 * shared >= 4 * (n[i] + n[i + 1 : to]))]):
+            label[label == near] = label[i]
+    moved = np.flatnonzero(label != np.arange(len(n)))
+    return node[moved], node[label[moved]]
+
+
+def verified(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, size: int, few: int, items_a_part: int = 1 << 20) -> DataFrame:
+    """(u, v) links that connect the nodes of a cluster with a similarity of 0.8 or more. The sets of clusters of several nodes are made
+    again, of one text a node; a cluster of many nodes or shingles has parts, each two of which meet in a cell."""
+    several = nodes.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
+    several = cut(several.select("cluster", F.greatest(F.ceil(F.col("m") / few), F.ceil(F.col("all") / items_a_part)).alias("parts"), (F.col("all")).alias("all")))
+    items = several.agg(F.sum(F.col("all") * F.col("parts"))).first()[0] or 0
+    inside = nodes.select("node", "cluster").join(small(several.drop("all")), "cluster")
+    one = firsts.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("one")).join(inside, "node")
+    one = cut(one.select(F.col("one.doc_id").alias("one_id"), F.col("one.at").alias("one_at"), "node", "cluster", "parts"))
+    texts = docs.withColumn("at", simhash.text_hash()).join(small(one), F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("at") == F.col("one_at")))
+
+    def sets(batches):
+        import xxhash
+
+        seen: set[int] = set()
+        for batch in batches:
+            made = [shingles(t.as_py(), size) for t in batch.column(0)]
+            own = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in made), np.uint64, len(made)).view(np.int64)
+            fresh = [a == b and a not in seen and not seen.add(a) for a, b in zip(own.tolist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, pa.list_(pa.int64()))], ["node", "cluster", "parts", "items"]).filter(pa.array(fresh, pa.bool_()))
+
+    made = texts.select("text", "node", "cluster", "parts").mapInArrow(sets, "node long, cluster long, parts long, items array<long>")
+    made = made.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = made.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "items")
+
+    def run(batches):
+        parts = [([c.to_numpy() for c in b.columns[:5]], [x.values.to_numpy() for x in b.column(5)]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        cluster, i, j, part, node = map(np.concatenate, zip(*[p for p, _ in parts]))
+        sets_ = [x for _, b in parts for x in b]
+        order = np.lexsort((node, j, i, cluster))
+        cluster, i, j, part, node = (c[order] for c in (cluster, i, j, part, node))
+        fresh = np.r_[True, (cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (node[1:] != node[:-1])]
+        order, cluster, i, j, part, node = (c[fresh] for c in (order, cluster, i, j, part, node))
+        edges = np.r_[0, np.flatnonzero((cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(node)].tolist()
+        us, vs = zip(*[similar_in(node[a:b], part[a:b], [sets_[k] for k in order[a:b]]) for a, b in zip(edges[:-1], edges[1:])])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    tasks = int(items // (1 << 21)) + 1
+    found = cut(cells.repartition(tasks, "cluster", "i", "j").mapInArrow(run, PAIR))
+    discard(several, one)
+    return found
+
+
+def links(firsts: DataFrame, docs: DataFrame, size: int = 5, few: int = 4096, rows_a_task: int = 1 << 19) -> DataFrame:
     """(u, v) links that connect all nodes with a similarity of 0.8 or more; ``firsts`` is a checkpoint of what
     ``first_shingles`` makes of ``docs`` (doc_id, text, tie)."""
     def once(batches):
@@ -235,64 +330,24 @@ def links(firsts: DataFrame, docs: DataFrame, size: int = 5, few: int = 64, rows
             fresh = [n not in seen and not seen.add(n) for n in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(fresh, pa.bool_()))
 
-    own = firsts.select("node", "n", *BITS, "first").where("n > 0").mapInArrow(once, "node long, n long, b0 long, b1 long, b2 long, b3 long, first array<long>")
-    routed = own.select(F.explode("first").alias("s"), "node", "n", *BITS)
-    rows = firsts.agg(F.sum(F.size("first"))).first()[0] or 0
-    tasks = max(1, int(rows / rows_a_task) + 1)
-
-    def partners(batches):
-        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        s, node, n, *bits = map(np.concatenate, zip(*parts))
-        order = np.lexsort((node, n, s))
-        s, node, n, bits = s[order], node[order], n[order], np.stack(bits, axis=1)[order]
-        fresh = np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])]
-        s, node, n, bits = s[fresh], node[fresh], n[fresh], bits[fresh]
-        none = np.zeros(0, np.int64)
-        edges = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)]
-        us, vs, held = [], [], 0
-        for at, to in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if to - at > 1:
-                a, b = (x + at for x in pairs_within(n[at:to], few))
-                near = near_enough(n[a], n[b], bits[a], bits[b])
-                us.append(node[a[near]])
-                vs.append(node[b[near]])
-                held += int(near.sum())
-            if to - at > few:  # all its nodes, for the pairs still to be compared
-                yield rows_of(s[at:to], node[at:to], none, n[at:to], bits[at:to])
-            if held > 1 << 20 or to == len(s):
-                if held:
-                    u, v = np.concatenate(us), np.concatenate(vs)
-                    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-                    yield rows_of(none, both[:, 0].copy(), both[:, 1].copy(), none, bits[:0])
-                us, vs, held = [], [], 0
-
-    def rows_of(s, u, v, n, bits):
-        columns = (s, u, v, n, *[bits[:, i].copy() for i in range(4)])
-        return pa.RecordBatch.from_arrays([pa.array(c) if len(c) else pa.nulls(len(u), pa.int64()) for c in columns], ["s", "u", "v", "n", *BITS])
-
-    rows = cut(routed.repartition(tasks, "s").mapInArrow(partners, "s long, u long, v long, n long, b0 long, b1 long, b2 long, b3 long"))
+    columns = "node long, n long, fp long, bits array<long>, first array<long>"
+    own = firsts.select("node", "n", "fp", "bits", "first").where("n > 0").mapInArrow(once, columns).dropDuplicates(["node"])
+    nodes = cut(covered(own).select("node", "n", "cluster", "bits", "first"))
+    rows = nodes.agg(F.sum(F.size("first"))).first()[0] or 0
+    tasks = int(rows / rows_a_task) + 1
+    met = cut(meetings(nodes, tasks))
+    label = components(cluster_links(nodes, met, int(met.count() / (rows_a_task >> 2)) + 1)).withColumnRenamed("u", "cluster")
+    clusters = nodes.select("node", "n", "cluster").join(small(label), "cluster", "left").select("node", "n", F.coalesce("label", "cluster").alias("cluster"))
+    found = verified(clusters, firsts, docs, size, few)
+    discard(nodes, met)
     release(firsts.sparkSession)
-    found = verified(rows.where("v is not null").select("u", "v"), firsts, docs, size)
-    crowded = rows.where("v is null").select("s", F.col("u").alias("node"), "n", *BITS)
-    for every in (False, True):
-        if not crowded.limit(1).count():
-            break
-        label = components(found).withColumnRenamed("u", "node")
-        labelled = crowded.select("s", "node", "n", *BITS).join(label, "node", "left").select("s", "node", "n", *BITS, F.coalesce("label", "node").alias("label"))
-        labelled = cut(labelled)
-        open_ = labelled.groupBy("s").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("s")
-        crowded = cut(labelled.join(open_, "s", "left_semi"))
-        discard(labelled)
-        found = found.union(verified(apart_pairs(crowded) if every else nearest(crowded, tasks), firsts, docs, size))
     return found
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, few: int = 64, tie: Column | None = None) -> DataFrame:
-    """(doc_id, component_id, tie) of every document."""
+def near_duplicates(docs: DataFrame, size: int = 5, few: int = 4096, tie: Column | None = None) -> DataFrame:
+    """(doc_id, component_id, tie) of every document. ``few``: nodes of a part of a cluster's cells."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0) if tie is None else tie).cast("long").alias("tie"))
-    firsts = cut(first_shingles(docs, *common_shingles(docs, size), size, F.col("tie")))
+    firsts = cut(first_shingles(docs, *common_shingles(docs, size), size))
     least = firsts.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     of = cut(named(least, components(links(firsts, docs, size, few)), "node").select("node", "label", "component_id", "n"))
     rows = firsts.select("doc_id", "tie", "node")
