@@ -232,14 +232,14 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def first_of(docs: DataFrame, groups: DataFrame, tie: Column, by: str = "component_id") -> DataFrame:
+def first_of(docs: DataFrame, groups: DataFrame, tie: Column, by: str = "component_id", every: DataFrame | None = None) -> DataFrame:
     """The first row of each of the ``groups`` (doc_id, tie, ``by``), found by minima that are combined before they are
-    shuffled, and met again by id and text hash."""
+    shuffled, and met again by id and text hash. ``every`` has (doc_id, tie) of all rows, if ``groups`` has not."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tie").alias("tie"))).alias("first")
     kept = cut(groups.groupBy(by).agg(least).select("first.id", "first.tie")).alias("kept")
     rows = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), docs["doc_id"].alias("id"), tie.alias("tie")).alias("rows")
     out = rows.join(kept, F.col("rows.id").eqNullSafe(F.col("kept.id")) & (F.col("rows.tie") == F.col("kept.tie")), "left_semi")
-    again = groups.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count()
+    again = (groups if every is None else every).groupBy("doc_id", "tie").count().where("count > 1").limit(1).count()
     out = out.dropDuplicates(["id", "tie"]) if again else out
     return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

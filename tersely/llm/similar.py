@@ -151,6 +151,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= 1_000_000 else df
 
 
+def connected(edges: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """(u, v) links -> (u, label) as ``components`` has them, with any one node of each component for label, as a broadcast if
+    they are few; few links need no rounds, but one task."""
+    edges = cut(edges.select("u", "v"))
+    if edges.count() > few:
+        return small(components(edges))
+
+    def run(batches):
+        parts = [[c.to_numpy().view(np.uint64) for c in b.columns] for b in batches if b.num_rows]
+        if parts:
+            u, v = simhash.forest(*map(np.concatenate, zip(*parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "label"])
+
+    label = cut(edges.coalesce(1).mapInArrow(run, "u long, label long"))
+    discard(edges)
+    return F.broadcast(label)
+
+
 def covered(nodes: DataFrame) -> DataFrame:
     """``nodes`` (fp, ...) with cluster: the smallest fingerprint of those that op4's anchor covering connects with theirs."""
     distinct = cut(nodes.select("fp").distinct())
@@ -280,7 +298,7 @@ def verified(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, size: int, fe
     """(u, v) links that connect the nodes of a cluster with a similarity of 0.8 or more. The sets of clusters of several nodes are made
     again, of one text a node; a cluster of many nodes or shingles has parts, each two of which meet in a cell."""
     several = nodes.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
-    several = cut(several.select("cluster", F.greatest(F.ceil(F.col("m") / few), F.ceil(F.col("all") / items_a_part)).alias("parts"), (F.col("all")).alias("all")))
+    several = cut(several.select("cluster", F.greatest(F.ceil(F.col("m") / few), F.ceil(F.col("all") / items_a_part)).alias("parts"), "all"))
     items = several.agg(F.sum(F.col("all") * F.col("parts"))).first()[0] or 0
     inside = nodes.select("node", "cluster").join(small(several.drop("all")), "cluster")
     one = firsts.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("one")).join(inside, "node")
@@ -336,8 +354,8 @@ def links(firsts: DataFrame, docs: DataFrame, size: int = 5, few: int = 4096, ro
     rows = nodes.agg(F.sum(F.size("first"))).first()[0] or 0
     tasks = int(rows / rows_a_task) + 1
     met = cut(meetings(nodes, tasks))
-    label = components(cluster_links(nodes, met, int(met.count() / (rows_a_task >> 2)) + 1)).withColumnRenamed("u", "cluster")
-    clusters = nodes.select("node", "n", "cluster").join(small(label), "cluster", "left").select("node", "n", F.coalesce("label", "cluster").alias("cluster"))
+    label = connected(cluster_links(nodes, met, int(met.count() / (rows_a_task >> 2)) + 1)).withColumnRenamed("u", "cluster")
+    clusters = nodes.select("node", "n", "cluster").join(label, "cluster", "left").select("node", "n", F.coalesce("label", "cluster").alias("cluster"))
     found = verified(clusters, firsts, docs, size, few)
     discard(nodes, met)
     release(firsts.sparkSession)
@@ -349,12 +367,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, few: int = 4096, tie: Column
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0) if tie is None else tie).cast("long").alias("tie"))
     firsts = cut(first_shingles(docs, *common_shingles(docs, size), size))
     least = firsts.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    of = cut(named(least, components(links(firsts, docs, size, few)), "node").select("node", "label", "component_id", "n"))
+    of = cut(named(least, connected(links(firsts, docs, size, few)), "node").select("node", "label", "component_id", "n"))
     rows = firsts.select("doc_id", "tie", "node")
     return meet(rows, of, "node", rows.count()).select("doc_id", "component_id", "label", "tie")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, then text hash."""
-    tie = simhash.text_hash()
-    return simhash.first_of(docs, near_duplicates(docs, tie=tie), tie, "label")
+def one_of_each(docs: DataFrame, size: int = 5, few: int = 4096) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, then text hash. The first row of each
+    node stands for all of them, so no row meets its group again."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", simhash.text_hash().alias("tie"))
+    firsts = cut(first_shingles(narrow, *common_shingles(narrow, size), size))
+    label = connected(links(firsts, narrow, size, few)).withColumnRenamed("u", "node")
+    least = firsts.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least"))
+    groups = least.join(label, "node", "left").select(F.coalesce("label", "node").alias("label"), "least.doc_id", "least.tie")
+    return simhash.first_of(docs, groups, simhash.text_hash(), "label", firsts)

@@ -86,3 +86,23 @@ def test_links_are_fewer_than_nodes(spark):
     firsts = similar.cut(similar.first_shingles(docs, *similar.common_shingles(docs)))
     found = similar.links(firsts, docs).collect()
     assert 0 < len(found) < firsts.select("node").distinct().count()
+
+
+def test_components_of_few_and_of_many_links(spark):
+    edges = spark.createDataFrame([(5, 3), (3, 9), (-7, 2), (2, 8), (8, -7)], "u long, v long")
+    for few in (0, 100):
+        label = {r.u: r.label for r in similar.connected(edges, few).collect()}
+        assert partition([label.get(i, i) for i in (5, 3, 9, -7, 2, 8)]) == [[0, 1, 2], [3, 4, 5]]
+
+
+def test_one_of_each_of_repeated_rows(spark):
+    texts = near_copies(80)
+    own = brute([set(similar.shingles(t).tolist()) for t in texts])
+    rows = [(None if i % 7 == 0 else i, t) for i, t in enumerate(texts)] * 2
+    kept = similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), few=9).collect()
+    groups = [[i for i in range(80) if own[i] == g] for g in sorted(set(own))]
+    assert len(kept) == len(groups)
+    place = {t: own[i] for i, t in enumerate(texts)}
+    for r in kept:
+        ids = [i for i in range(80) if own[i] == place[r.text] and i % 7]
+        assert r.doc_id == (min(ids) if ids else None)
